@@ -92,9 +92,9 @@ def reindex(calendar: DataFrame, series: DataFrame, keys: list[str]) -> DataFram
 
 
 def pivot_wide(panel: DataFrame, names: list[str], keys: list[str] = ["entity_id", "period_end"]) -> DataFrame:
-    """Long to wide with named columns, so that no extra job looks the names up."""
+    """Long to wide with named columns. Conditional aggregates, unlike a pivot, let unused columns be pruned."""
     wanted = panel.where(F.col("series_id").isin(names))
-    return wanted.groupBy(*keys).pivot("series_id", names).agg(F.first("value"))
+    return wanted.groupBy(*keys).agg(*[F.max(F.when(F.col("series_id") == n, F.col("value"))).alias(n) for n in names])
 
 
 def unpivot_long(wide: DataFrame, names: list[str], keys: list[str] = ["entity_id", "period_end"], label: str = "feature") -> DataFrame:

@@ -6,6 +6,8 @@ MODULES = [
     "align_queries",
     "window_queries",
     "scalar_queries",
+    "feature_queries",
+    "composite_queries",
 ]
 
 
