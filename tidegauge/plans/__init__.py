@@ -8,6 +8,9 @@ MODULES = [
     "scalar_queries",
     "feature_queries",
     "composite_queries",
+    "metric_queries",
+    "calibration_queries",
+    "selection_queries",
 ]
 
 

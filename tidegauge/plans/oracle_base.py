@@ -123,7 +123,7 @@ CTES: dict[str, str] = {
     "regime": "SELECT entity_id, period_end, CASE WHEN ROUND(value, 6) <= ROUND(q, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flag "
     f"FROM (SELECT *, {guarded('QUANTILE_CONT(value, 0.2)', 'value', upto('entity_id'), 12)} AS q "
     "FROM panel WHERE series_id = 'revenue')",
-    "score_rows": "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS row_id, strftime(l_shipdate, '%Y') AS run_id, "
+    "score_rows": "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS row_id, strftime(l_shipdate, '%Y') AS run_id, "
     "CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, m1, m2, (m1 + m2) / 2.0::DOUBLE AS m3, "
     "0.02::DOUBLE + ROUND(l_tax * 100) * 11 / 100.0::DOUBLE AS m4 FROM (SELECT *, "
     "0.05::DOUBLE + ROUND(l_discount * 100) * 9 / 100.0::DOUBLE AS m1, l_quantity / 60.0::DOUBLE AS m2 FROM lineitem)",

@@ -135,7 +135,7 @@ class DriverTables:
         disc, qty, tax = F.round(F.col("l_discount") * 100), F.col("l_quantity"), F.round(F.col("l_tax") * 100)
         m1, m2 = 0.05 + disc * 9 / 100.0, qty / 60.0
         return self.read("lineitem").select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"),
             F.date_format("l_shipdate", "yyyy").alias("run_id"),
             F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"),
             m1.alias("m1"), m2.alias("m2"), ((m1 + m2) / 2.0).alias("m3"), (0.02 + tax * 11 / 100.0).alias("m4"),
