@@ -129,7 +129,8 @@ def psi(features: DataFrame, keys: list[str], recent: int, reference: int, smoot
 
     def histogram(values: str):
         last = F.size("_e") - 2
-        inside = lambda i: F.size(F.filter(values, lambda x: (x >= F.col("_e")[i]) & ((x < F.col("_e")[i + 1]) | ((i == last) & (x == F.col("_e")[i + 1])))))
+        edge = lambda i: F.get("_e", i)
+        inside = lambda i: F.size(F.filter(values, lambda x: (x >= edge(i)) & ((x < edge(i + 1)) | ((i == last) & (x == edge(i + 1))))))
         return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: inside(i).cast("double"))
 
     counted = usable.withColumns({"_a": histogram("_ref"), "_b": histogram("_rec")})

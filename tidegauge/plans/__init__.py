@@ -11,6 +11,7 @@ MODULES = [
     "metric_queries",
     "calibration_queries",
     "selection_queries",
+    "backtest_queries",
 ]
 
 
