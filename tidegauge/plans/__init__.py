@@ -12,6 +12,9 @@ MODULES = [
     "calibration_queries",
     "selection_queries",
     "backtest_queries",
+    "serving_queries",
+    "model_queries",
+    "stream_queries",
 ]
 
 

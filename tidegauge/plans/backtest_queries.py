@@ -84,7 +84,7 @@ def b04(t):
     return df.select("candidate_id", "origins_tested", "positive_origins", *r6(df, *SUMMARY))
 
 
-@query("b05_candidate_ranking", sql="""SELECT candidate_id, ROW_NUMBER() OVER (ORDER BY ROUND(pr_auc, 9) DESC NULLS LAST, ROUND(brier, 9), ROUND(f1, 9) DESC NULLS LAST, ROUND(auc, 9) DESC NULLS LAST, ROUND(precision, 9) DESC NULLS LAST, candidate_id) AS rank FROM candidate_summary""")
+@query("b05_candidate_ranking", longs=("rank",), sql="""SELECT candidate_id, ROW_NUMBER() OVER (ORDER BY ROUND(pr_auc, 9) DESC NULLS LAST, ROUND(brier, 9), ROUND(f1, 9) DESC NULLS LAST, ROUND(auc, 9) DESC NULLS LAST, ROUND(precision, 9) DESC NULLS LAST, candidate_id) AS rank FROM candidate_summary""")
 def b05(t):
     return K.rank_candidates(K.origin_summary(candidate_rows(t), ["candidate_id"])).select("candidate_id", "rank")
 

@@ -58,13 +58,13 @@ B.add("score_ece", ece_sql("scores", "run_id, model"))
 B.add("score_brier", brier_sql("score_bins", "run_id, model"))
 
 
-@query("c01_reliability", sql="""SELECT run_id, model, bin, ROUND(centre, 6) AS centre, ROUND(observed, 6) AS observed, ROUND(predicted, 6) AS predicted, n FROM score_bins""")
+@query("c01_reliability", longs=("bin",), sql="""SELECT run_id, model, bin, ROUND(centre, 6) AS centre, ROUND(observed, 6) AS observed, ROUND(predicted, 6) AS predicted, n FROM score_bins""")
 def c01(t):
     df = C.reliability(t.scores, RM)
     return df.select(*RM, "bin", *r6(df, "centre", "observed", "predicted"), "n")
 
 
-@query("c01_reliability_uniform", sql=f"""SELECT entity_id, model, bin, ROUND(centre, 6) AS centre, ROUND(observed, 6) AS observed, ROUND(predicted, 6) AS predicted, n FROM ({reliability_sql('score_panel', 'entity_id, model', 'uniform')})""")
+@query("c01_reliability_uniform", longs=("bin",), sql=f"""SELECT entity_id, model, bin, ROUND(centre, 6) AS centre, ROUND(observed, 6) AS observed, ROUND(predicted, 6) AS predicted, n FROM ({reliability_sql('score_panel', 'entity_id, model', 'uniform')})""")
 def c01_uniform(t):
     df = C.reliability(t.score_panel, ["entity_id", "model"], strategy="uniform")
     return df.select("entity_id", "model", "bin", *r6(df, "centre", "observed", "predicted"), "n")

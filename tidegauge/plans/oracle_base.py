@@ -49,7 +49,9 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
             return "NULL"
         if isinstance(v, bool):
             return "TRUE" if v else "FALSE"
-        if isinstance(v, (int, float)):
+        if isinstance(v, float):
+            return f"{v!r}::DOUBLE"
+        if isinstance(v, int):
             return str(v)
         if isinstance(v, (list, tuple)):
             return "[" + ", ".join(lit(x) for x in v) + "]"

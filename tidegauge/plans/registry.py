@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.plans import oracle_base
 from tidegauge.sources.driver_panel import DriverTables
@@ -21,11 +22,14 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, longs: tuple[str, ...] = ()):
+    """Register a plan. ``longs`` names counters that the oracle types as BIGINT."""
+
     def register(build):
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Query(name, build, oracle_base.complete(sql) if sql else None)
+        typed = (lambda t: build(t).withColumns({c: F.col(c).cast("bigint") for c in longs})) if longs else build
+        REGISTRY[name] = Query(name, typed, oracle_base.complete(sql) if sql else None)
         return build
 
     return register

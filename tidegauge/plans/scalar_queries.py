@@ -26,8 +26,8 @@ def six(t):
     return pivot_wide(t.macro, NAMES)
 
 
-@query("p01_threshold_flags", sql=f"""SELECT {KEY}, CASE WHEN leading_T10Y3M < 0 THEN 1.0 ELSE 0.0 END AS inverted,
- CASE WHEN coincident_UNRATE >= 0.50 THEN 1.0 ELSE 0.0 END AS trigger, CASE WHEN financial_NFCI > 1.5 THEN 1.0 ELSE 0.0 END AS stress FROM six""")
+@query("p01_threshold_flags", sql=f"""SELECT {KEY}, CASE WHEN leading_T10Y3M < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS inverted,
+ CASE WHEN coincident_UNRATE >= 0.50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS trigger, CASE WHEN financial_NFCI > 1.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS stress FROM six""")
 def p01(t):
     return six(t).select(*COLS, S.flag(F.col("leading_T10Y3M") < 0).alias("inverted"),
                          S.flag(F.col("coincident_UNRATE") >= 0.5).alias("trigger"), S.flag(F.col("financial_NFCI") > 1.5).alias("stress"))
@@ -59,16 +59,16 @@ def p05(t):
     return six(t).select(*COLS, F.round(S.safe_ratio("monetary_DFF", "leading_T10Y3M"), 6).alias("ratio"))
 
 
-@query("p06_conjunction_flag", sql=f"""SELECT {KEY}, CASE WHEN leading_T10Y3M > 5 AND financial_NFCI < 1 THEN 1.0 ELSE 0.0 END AS both FROM six""")
+@query("p06_conjunction_flag", sql=f"""SELECT {KEY}, CASE WHEN leading_T10Y3M > 5 AND financial_NFCI < 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS both FROM six""")
 def p06(t):
     return six(t).select(*COLS, S.flag((F.col("leading_T10Y3M") > 5) & (F.col("financial_NFCI") < 1)).alias("both"))
 
 
 _F = [("leading_T10Y3M", "<", 0), ("leading_T10Y2Y", "<", 0), ("financial_NFCI", ">", 0)]
-_FS = [f"CASE WHEN {c} {o} {v} THEN 1.0 ELSE 0.0 END" for c, o, v in _F]
+_FS = [f"CASE WHEN {c} {o} {v} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for c, o, v in _F]
 
 
-@query("p07_flag_combinations", sql=f"""SELECT {KEY}, {' * '.join(_FS)} AS all_three, CASE WHEN {' + '.join(_FS)} >= 2 THEN 1.0 ELSE 0.0 END AS two_of_three FROM six""")
+@query("p07_flag_combinations", sql=f"""SELECT {KEY}, {' * '.join(_FS)} AS all_three, CASE WHEN {' + '.join(_FS)} >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS two_of_three FROM six""")
 def p07(t):
     flags = [S.flag(F.expr(f"{c} {o} {v}")) for c, o, v in _F]
     return six(t).select(*COLS, S.all_flags(*flags).alias("all_three"), S.at_least(2, *flags).alias("two_of_three"))

@@ -55,7 +55,7 @@ def entity_pool(t, features=None):
 B.add("entity_pool", f"""SELECT *, 2.0 / rank AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY ROUND(abs_corr, 9) DESC, feature) AS rank FROM corr_entity) WHERE rank <= {POOL}""")
 
 
-@query("k03_candidate_pool", sql="SELECT entity_id, feature, rank, ROUND(score, 6) AS score FROM entity_pool")
+@query("k03_candidate_pool", longs=("rank",), sql="SELECT entity_id, feature, rank, ROUND(score, 6) AS score FROM entity_pool")
 def k03(t):
     return entity_pool(t).select(*EF, "rank", F.round("score", 6).alias("score"))
 
@@ -150,7 +150,7 @@ def k12(t):
     return K.binned_information(pool_features(t), labels(t), ["entity_id"]).select(*EF, F.round("information", 6).alias("information"))
 
 
-@query("k13_at_risk_share", sql=f"SELECT entity_id, ROUND(AVG(CASE WHEN {LAYER} = 'at_risk' THEN 1.0 ELSE 0.0 END), 6) AS at_risk_share FROM entity_pool WHERE rank <= 20 GROUP BY 1")
+@query("k13_at_risk_share", sql=f"SELECT entity_id, ROUND(AVG(CASE WHEN {LAYER} = 'at_risk' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS at_risk_share FROM entity_pool WHERE rank <= 20 GROUP BY 1")
 def k13(t):
     share = F.avg(F.when(X.layer() == "at_risk", 1.0).otherwise(0.0))
     return entity_pool(t).where("rank <= 20").groupBy("entity_id").agg(F.round(share, 6).alias("at_risk_share"))

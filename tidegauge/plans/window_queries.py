@@ -102,7 +102,7 @@ def w11(t):
 
 
 @query("w12_expanding_quantile_flag", sql=f"""SELECT {KEY}, ROUND(q10, 6) AS q10, ROUND(q90, 6) AS q90,
- CASE WHEN ROUND(value, 9) <= ROUND(q10, 9) THEN 1.0 ELSE 0.0 END AS low_flag, CASE WHEN ROUND(value, 9) >= ROUND(q90, 9) THEN 1.0 ELSE 0.0 END AS high_flag
+ CASE WHEN ROUND(value, 9) <= ROUND(q10, 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_flag, CASE WHEN ROUND(value, 9) >= ROUND(q90, 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS high_flag
 FROM (SELECT *, {B.guarded('QUANTILE_CONT(value, 0.1)', 'value', B.upto(), 60)} AS q10,
  {B.guarded('QUANTILE_CONT(value, 0.9)', 'value', B.upto(), 60)} AS q90 FROM panel)""")
 def w12(t):
@@ -158,7 +158,7 @@ def w17(t):
     return df.groupBy("entity_id", "series_id").agg(F.round(W.last_known(V) - before, 6).alias("delta"))
 
 
-@query("w18_row_position", sql=f"""SELECT {KEY}, ROUND(value, 6) AS value, r AS from_end FROM (
+@query("w18_row_position", longs=("from_end",), sql=f"""SELECT {KEY}, ROUND(value, 6) AS value, r AS from_end FROM (
  SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id, series_id ORDER BY period_end DESC) AS r FROM panel) WHERE r <= 12""")
 def w18(t):
     newest = Window.partitionBy("entity_id", "series_id").orderBy(F.col("period_end").desc())
@@ -171,7 +171,7 @@ def w19(t):
     return t.score_panel.groupBy("entity_id", "model").agg(W.first_date_where(F.col("prob") >= 0.8).alias("first_crossing"))
 
 
-@query("w20_rank_with_tie_break", sql="""WITH s AS (SELECT entity_id, series_id, ROUND(AVG(value), 1) AS score FROM panel
+@query("w20_rank_with_tie_break", longs=("rank",), sql="""WITH s AS (SELECT entity_id, series_id, ROUND(AVG(value), 1) AS score FROM panel
  WHERE series_id IN ('orders', 'urgent_share', 'failed_share') GROUP BY 1, 2)
 SELECT entity_id, series_id, score, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY score DESC, series_id) AS rank FROM s""")
 def w20(t):
