@@ -23,25 +23,23 @@ def month_end_last(obs: DataFrame, keys: list[str] = KEYS, date: str = "obs_date
 def dense_calendar(monthly: DataFrame, entity: str = "entity_id", series: str = "series_id") -> DataFrame:
     """One row per (entity, series, month) between the entity's first and last month.
 
-    Each series is packed into a month-to-value map (bounded by the number of months),
-    the entity bounds come from a window over those packed rows, and the calendar is
-    unpacked again: no join, and the output stays hash-partitioned by entity.
+    Every row stretches over the gap that follows it (and the first one over the gap
+    before it), so the calendar needs no join. Both windows and everything that is
+    windowed by series afterwards share one partitioning by entity.
     """
-    packed = monthly.groupBy(entity, series).agg(
-        F.map_from_entries(F.collect_list(F.struct("period_end", "value"))).alias("_m"),
-        F.min("period_end").alias("_lo"),
-        F.max("period_end").alias("_hi"),
-    )
     per_entity = Window.partitionBy(entity)
-    months = F.sequence(
-        F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("interval 1 month")
-    )
-    return (
-        packed.withColumn("_lo", F.min("_lo").over(per_entity))
-        .withColumn("_hi", F.max("_hi").over(per_entity))
-        .select(entity, series, "_m", F.explode(F.transform(months, F.last_day)).alias("period_end"))
-        .select(entity, series, "period_end", F.try_element_at("_m", F.col("period_end")).alias("value"))
-    )
+    w = W.by(entity, series)
+    step = F.expr("interval 1 month")
+    month = F.trunc("period_end", "month")
+    framed = monthly.select(entity, series, "period_end", "value").withColumns({
+        "_lo": F.min(month).over(per_entity), "_hi": F.max(month).over(per_entity),
+        "_first": F.row_number().over(w) == 1, "_next": F.lead(month).over(w),
+    })
+    start = F.when(F.col("_first"), F.col("_lo")).otherwise(month)
+    end = F.coalesce(F.add_months("_next", -1), F.col("_hi"))
+    spread = framed.select(entity, series, F.col("period_end").alias("_own"), "value", F.explode(F.sequence(start, end, step)).alias("_m"))
+    at = F.last_day("_m")
+    return spread.select(entity, series, at.alias("period_end"), F.when(at == F.col("_own"), F.col("value")).alias("value"))
 
 
 def interpolate_quarterly(

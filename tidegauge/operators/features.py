@@ -61,14 +61,16 @@ def _r(x: str | Column) -> Column:
 # ---- per-series transforms (long) -------------------------------------------
 
 
+def _standard(x: str, w) -> dict[str, Column]:
+    return {
+        "_MoM": W.pct_change(x, 1, w), "_3M": W.pct_change(x, 3, w), "_6M": W.pct_change(x, 6, w), "_YoY": W.pct_change(x, 12, w),
+        "_MA3": W.rolling_mean(x, 3, w), "_MA6": W.rolling_mean(x, 6, w), "_Vol6M": W.rolling_std(x, 6, w),
+    }
+
+
 def standard_transforms(panel: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Changes over 1/3/6/12 months, 3- and 6-month means, 6-month volatility of every indicator."""
-    w = W.series_window(*keys)
-    parts = {
-        "_MoM": W.pct_change("value", 1, w), "_3M": W.pct_change("value", 3, w), "_6M": W.pct_change("value", 6, w),
-        "_YoY": W.pct_change("value", 12, w), "_MA3": W.rolling_mean("value", 3, w), "_MA6": W.rolling_mean("value", 6, w),
-        "_Vol6M": W.rolling_std("value", 6, w),
-    }
+    parts = _standard("value", W.series_window(*keys))
     named = panel.select(*keys, "entity_id", "series_id", "period_end", *[c.alias(s) for s, c in parts.items()])
     rows = F.array(*[F.struct(F.concat("series_id", F.lit(s)).alias("feature"), F.col(s).alias("value")) for s in parts])
     return named.select(*keys, "entity_id", "period_end", F.inline(rows))
@@ -78,23 +80,47 @@ def indicators_only(panel: DataFrame) -> DataFrame:
     return panel.where(~F.col("series_id").startswith("ref_") & (F.col("series_id") != "RECESSION"))
 
 
+def _at_risk(countercyclical: list[str], minimum: int, tail: float, keys: tuple[str, ...]) -> tuple[dict[str, Column], Column]:
+    """Window columns and the flag over them. Only the tail a series needs is evaluated."""
+    w = W.series_window(*keys)
+    counter = F.col("series_id").isin(countercyclical)
+    helpers = {
+        "_n": F.count("value").over(W.whole(w)),
+        "_low": W.expanding_quantile(F.when(~counter, F.col("value")), tail, w, minimum),
+        "_high": W.expanding_quantile(F.when(counter, F.col("value")), 1 - tail, w, minimum),
+    }
+    return helpers, F.when(counter, flag(_r("value") >= _r("_high"))).otherwise(flag(_r("value") <= _r("_low")))
+
+
 def at_risk_flags(panel: DataFrame, countercyclical: list[str], minimum: int = 60, tail: float = 0.10, keys: tuple[str, ...] = ()) -> DataFrame:
     """1.0 while an indicator sits in the weak tail of its own history.
 
     A series takes part once it has ``minimum`` observations in the frame; before that
     many rows have passed, its flag is 0.0 (unknown counts as not at risk).
     """
-    w = W.series_window(*keys)
-    counter = F.col("series_id").isin(countercyclical)
-    df = panel.withColumns({
-        "_n": F.count("value").over(W.whole(w)),
-        "_low": W.expanding_quantile("value", tail, w, minimum),
-        "_high": W.expanding_quantile("value", 1 - tail, w, minimum),
-    }).where(F.col("_n") >= minimum)
-    hit = F.when(counter, flag(_r("value") >= _r("_high"))).otherwise(flag(_r("value") <= _r("_low")))
+    helpers, hit = _at_risk(countercyclical, minimum, tail, keys)
+    df = panel.withColumns(helpers).where(F.col("_n") >= minimum)
     return df.select(*keys, "entity_id", "period_end", F.concat("series_id", F.lit("_AT_RISK")).alias("feature"), hit.alias("value"))
 
 
+def long_features(panel: DataFrame, countercyclical: list[str], minimum: int = 60, tail: float = 0.10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Raw values, standard transforms and at-risk flags of every series from one windowed pass.
+
+    Peers and the target keep their raw value only.
+    """
+    w = W.series_window(*keys)
+    helpers, hit = _at_risk(countercyclical, minimum, tail, keys)
+    parts = _standard("value", w)
+    wide = panel.withColumns({**{f"_t{s}": c for s, c in parts.items()}, **helpers})
+    name = lambda s: F.concat("series_id", F.lit(s)).alias("feature")
+    raw = F.struct(F.col("series_id").alias("feature"), F.col("value").alias("value"))
+    derived = [F.struct(name(s), F.col(f"_t{s}").alias("value")) for s in parts]
+    risk = F.struct(name("_AT_RISK"), hit.alias("value"))
+    indicator = ~F.col("series_id").startswith("ref_") & (F.col("series_id") != "RECESSION")
+    rows = F.when(indicator & (F.col("_n") >= minimum), F.array(raw, *derived, risk)).when(indicator, F.array(raw, *derived)).otherwise(F.array(raw))
+    return wide.select(*keys, "entity_id", "period_end", F.inline(rows))
+
+
 def diffusion(flags: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Share of indicators at risk, plain and with strong predictors weighted 60 %."""
     strong = flags["feature"].contains(catalog.HIGH_SIGNAL[0])
@@ -193,16 +219,15 @@ def wide_features(panel: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def engineer(panel: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The whole feature frame in long form: raw series, transforms, flags, diffusion and blocks."""
     cols = [*keys, "entity_id", "feature", "period_end", "value"]
-    indicators = indicators_only(panel)
-    counter = [catalog.qualified(r[1], r[2]) for r in catalog.series_rows() if r[6]]
-    flags = at_risk_flags(indicators, counter, keys=keys)
-    spread = unpivot_long(diffusion(flags, keys), list(catalog.DIFFUSION_FEATURES), [*keys, "entity_id", "period_end"])
-    blocks = unpivot_long(wide_features(panel, keys), ENGINEERED, [*keys, "entity_id", "period_end"])
-    parts = [panel.withColumnRenamed("series_id", "feature"), standard_transforms(indicators, keys), flags, spread, blocks]
-    out = parts[0].select(*cols)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*cols))
-    return out
+    ids = [*keys, "entity_id", "period_end"]
+    counter = [r[0] for r in catalog.series_rows() if r[6]]
+    spread = diffusion(at_risk_flags(indicators_only(panel), counter, keys=keys), keys)
+    parts = [
+        long_features(panel, counter, keys=keys),
+        unpivot_long(spread, list(catalog.DIFFUSION_FEATURES), ids),
+        unpivot_long(wide_features(panel, keys), ENGINEERED, ids),
+    ]
+    return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols))
 
 
 # ---- feature catalogue and variants -------------------------------------------
