@@ -89,7 +89,7 @@ def g05(t):
 @query("g06_composite_kpis", sql="""WITH l AS (SELECT entity_id, composite, MAX(period_end) AS d FROM composite_states WHERE value IS NOT NULL GROUP BY 1, 2)
 SELECT entity_id, composite, ROUND(arg_max(value, period_end) FILTER (value IS NOT NULL), 6) AS latest,
  ROUND(arg_max(value, period_end) FILTER (value IS NOT NULL) - arg_max(value, period_end) FILTER (value IS NOT NULL AND period_end <= last_day(d - INTERVAL 3 MONTH)), 6) AS delta_3m,
- arg_max(state, period_end) FILTER (state IS NOT NULL) AS state FROM composite_states JOIN l USING (entity_id, composite) GROUP BY 1, 2""")
+ arg_max(state, period_end) FILTER (state IS NOT NULL) AS state FROM composite_states LEFT JOIN l USING (entity_id, composite) GROUP BY 1, 2""")
 def g06(t):
     k = G.kpis(G.states(levels(t)))
     return k.select("entity_id", "composite", F.round("latest", 6).alias("latest"), F.round("delta_3m", 6).alias("delta_3m"), "state")
