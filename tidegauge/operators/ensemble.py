@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.ordered import score_cells
 from tidegauge.operators import metrics as V
 
 SWEEP = (10, 60)
@@ -182,7 +181,6 @@ def same_config(a: str, b: str) -> Column:
 
 def leave_one_out(scores: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
     """Brier and AUC of the equal-weight mean without each member, against the mean of all."""
-    filled = scores
     mean = scores.groupBy(*keys, "model").agg(F.avg("prob").alias("_mean"))
     filled = scores.join(mean, [*keys, "model"]).withColumn("prob", F.coalesce("prob", "_mean"))
     packed = filled.groupBy(*keys, *row, "y").agg(F.collect_list(F.struct("model", "prob")).alias("m"))
@@ -197,6 +195,3 @@ def leave_one_out(scores: DataFrame, keys: list[str], row: list[str]) -> DataFra
         *keys, "model", F.col("brier").alias("brier_without"), (F.col("brier") - F.col("_b")).alias("brier_delta"),
         F.col("auc").alias("auc_without"), F.col("_b").alias("reference_brier"), "reference_auc")
 
-
-def sweep_cells(scores: DataFrame, keys: list[str]) -> DataFrame:
-    return score_cells(scores, keys)
