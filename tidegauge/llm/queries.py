@@ -1,4 +1,4 @@
 """Imports every operator, so that its query is registered."""
 
-from tidegauge.llm import bpe, knn, minhash, mixing, quality, secret_scan, token_counts, toxicity  # noqa: F401
+from tidegauge.llm import bpe, knn, minhash, mixing, passages, quality, secret_scan, token_counts, token_output, toxicity  # noqa: F401
 from tidegauge.llm.registry import QUERIES, SQL  # noqa: F401
