@@ -6,10 +6,11 @@ from helpers import column, months, panel
 from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import cumulate, exact_quantiles, score_cells
-from tidegauge.operators import backtest, composites, ensemble, keyed_logit, labels, metrics, selection, uncertainty
+from tidegauge.operators import align, backtest, composites, ensemble, keyed_logit, labels, metrics, selection, uncertainty
 from tidegauge.operators import calibration as C
 from tidegauge.operators import features as X
 from tidegauge.sources import catalog, observations, stores
+from tidegauge.sources.catalog import dimension
 
 
 def test_registry_counts(spark):
@@ -241,3 +242,33 @@ def test_incumbent_defaults(spark):
     rows = [("2", None, "many", "?"), ("1", "old", "10", "3")]
     got = stores.incumbent(catalog.dimension(spark, rows, "run_id STRING, candidate_id STRING, max_features STRING, n_cv_splits STRING")).first()
     assert (got["candidate_id"], got["max_features"], got["n_cv_splits"]) == ("baseline_50", 50, 5)
+
+
+def test_lags_of_any_length_are_shifted(spark):
+    rows = panel(spark, {"slow": list(range(20)), "fast": list(range(20))})
+    lags = dimension(spark, [("slow", 14), ("fast", 0)], "series_id STRING, lag_months INT")
+    shifted = align.lag_mask(rows, lags, mode="shift")
+    assert column(shifted.where("series_id = 'slow'"), "value") == [None] * 14 + [float(i) for i in range(6)]
+    assert column(shifted.where("series_id = 'fast'"), "value") == [float(i) for i in range(20)]
+
+
+def test_shared_history_agrees_for_long_lags(spark):
+    rows = panel(spark, {"slow": [float(i * i % 17) for i in range(60)], "fast": [float(i) for i in range(60)]})
+    lags = dimension(spark, [("slow", 14), ("fast", 0)], "series_id STRING, lag_months INT")
+    ends = [r["period_end"] for r in rows.where("series_id = 'fast'").orderBy("period_end").collect()]
+    origins = dimension(spark, [(ends[40],), (ends[-1],)], "origin DATE")
+
+    cols = ["origin", "entity_id", "feature", "period_end", "value"]
+    plain, shared = (f(rows, origins, lags).select(*cols) for f in (backtest.realtime_features, backtest.realtime_features_shared))
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, shared.collect()), key=repr)
+
+
+def test_components_read_all_their_sources(spark):
+    rows = panel(spark, {n: [float((i * k) % 13) for i in range(40)] for k, n in enumerate("abcd", 2)})
+    spec = catalog.composite_spec(spark, [("net", ("a", "b", "c", "d"), "level", 1, "growth"), ("gap", ("a", "missing"), "level", 1, "growth")])
+    parts = composites.components(rows, spec)
+    level = [float((i * 2) % 13 - (i * 3) % 13 - (i * 4) % 13 - (i * 5) % 13) for i in range(40)]
+    wide = panel(spark, {"net": level})
+    expected = composites.components(wide, catalog.composite_spec(spark, [("net", ("net",), "zscore", 1, "growth")]))
+    assert column(parts.where("component = 'net'"), "z") == column(expected, "z")
+    assert set(column(parts.where("component = 'gap'"), "z")) == {None}

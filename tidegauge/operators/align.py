@@ -91,7 +91,7 @@ def reindex(calendar: DataFrame, series: DataFrame, keys: list[str]) -> DataFram
 
 def pivot_wide(panel: DataFrame, names: list[str], keys: list[str] = ["entity_id", "period_end"]) -> DataFrame:
     """Long to wide with named columns. Conditional aggregates, unlike a pivot, let unused columns be pruned."""
-    wanted = panel.where(F.col("series_id").isin(names))
+    wanted = panel.where(F.col("series_id").isin(list(names)))
     return wanted.groupBy(*keys).agg(*[F.max(F.when(F.col("series_id") == n, F.col("value"))).alias(n) for n in names])
 
 
@@ -119,10 +119,10 @@ def lag_mask(
     lag = F.when(F.col("series_id") == label_series, 0).otherwise(F.coalesce("lag_months", F.lit(default_lag)))
     known = known.withColumn("_lag", lag)
     if mode == "shift":
-        shifted = F.col("value")
-        for k in range(1, 13):
-            shifted = F.when(F.col("_lag") == k, F.lag("value", k).over(w)).otherwise(shifted)
-        return known.withColumn("value", shifted).drop("lag_months", "_lag")
+        # any lag at all: the value of the row that stands ``lag`` rows earlier in the series
+        placed = known.withColumn("_at", F.row_number().over(w) - F.col("_lag"))
+        source = frame.select(*keys, F.row_number().over(w).alias("_at"), F.col("value").alias("_earlier"))
+        return placed.join(source, [*keys, "_at"], "left").withColumn("value", F.col("_earlier")).select(*known.columns).drop("lag_months", "_lag")
     newest_first = Window.partitionBy(*keys).orderBy(F.col("period_end").desc())
     return (
         known.withColumn("_r", F.row_number().over(newest_first))

@@ -27,12 +27,14 @@ def realtime_features(panel: DataFrame, origins: DataFrame, lags: DataFrame) ->
     return features.standard_transforms(masked, keys=("origin",))
 
 
-def realtime_features_shared(panel: DataFrame, origins: DataFrame, lags: DataFrame, max_lag: int = 3, reach: int = 12) -> DataFrame:
+def realtime_features_shared(panel: DataFrame, origins: DataFrame, lags: DataFrame, default_lag: int = 1) -> DataFrame:
     """Same rows, but history is transformed once.
 
-    The mask only touches the last ``max_lag`` rows and the transforms look back at most
-    ``reach`` rows, so only the tail of each origin is windowed again.
+    The mask only touches as many last rows as the longest lag and the transforms look back at most
+    ``features.REACH`` rows, so only the tail of each origin is windowed again. The longest lag is read from ``lags``.
     """
+    max_lag = max(default_lag, lags.agg(F.max("lag_months")).first()[0] or 0)
+    reach = features.REACH
     history = align.as_of(features.standard_transforms(panel), origins)
     old = history.where(F.col("period_end") <= shift_months("origin", -max_lag))
     masked = align.lag_mask(

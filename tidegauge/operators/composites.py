@@ -12,14 +12,20 @@ from tidegauge.functions.scalars import safe_ratio
 
 Z_MIN, STATE_WINDOW, STATE_MIN = 12, 60, 12
 
-# Row-wise part of each transform over up to three sources, then the window part.
-# New transforms are added by name; both parts are plain column builders.
+def _level() -> Column:
+    """The first source less all others of the component; a missing one makes it NULL."""
+    rest = F.aggregate(F.slice("sources", 2, F.size("sources")), F.lit(0.0), lambda total, x: total + x)
+    return F.col("s0") - rest
+
+
+# Row-wise part of each transform over the sources (``s0``, ``s1`` and the list ``sources``), then the window part.
+# Callers add or replace transforms by name; both parts are plain column builders.
 COMBINE: dict[str, Callable[[], Column]] = {
-    "level": lambda: F.col("s0") - F.col("s1") - F.col("s2"),
+    "level": _level,
+    "level_mom3": _level,
     "ratio": lambda: safe_ratio("s0", "s1"),
     "termstruct": lambda: 1.0 - safe_ratio("s0", "s1"),
 }
-COMBINE["level_mom3"] = COMBINE["level"]
 CHANGE: dict[str, Callable] = {
     "yoy": lambda x, w: W.pct_change(x, 12, w),
     "mom3": lambda x, w: W.diff(x, 3, w),
@@ -28,13 +34,6 @@ CHANGE: dict[str, Callable] = {
 }
 
 
-def register_transform(name: str, combine: Callable[[], Column] | None = None, change: Callable | None = None) -> None:
-    if combine:
-        COMBINE[name] = combine
-    if change:
-        CHANGE[name] = change
-
-
 def _dispatch(table: dict, build, default: Column) -> Column:
     out = None
     for name, fn in table.items():
@@ -43,22 +42,25 @@ def _dispatch(table: dict, build, default: Column) -> Column:
     return out.otherwise(default)
 
 
-def components(panel: DataFrame, spec: DataFrame) -> DataFrame:
+def components(panel: DataFrame, spec: DataFrame, combine: dict | None = None, change: dict | None = None) -> DataFrame:
     """Sign-aligned standard score of every declared component.
 
     The spec is exploded to (component, position, source) and joined to the panel by
-    series; the sources of a component meet again in one aggregation. Components with
-    a missing source stay in the result as NULL.
+    series; the sources of a component, however many, meet again in one aggregation. Components with
+    a missing source stay in the result as NULL. ``combine`` and ``change`` add transforms by name.
     """
     wanted = spec.select("component", "transform", "sign", "composite", F.size("sources").alias("n_sources"),
                          F.posexplode("sources").alias("pos", "series_id"))
     keys = ["entity_id", "component", "period_end"]
     carried = [F.first(c).alias(c) for c in ("transform", "sign", "composite", "n_sources")]
-    at = lambda i: F.max(F.when(F.col("pos") == i, F.col("value"))).alias(f"s{i}")
-    joined = panel.join(wanted, "series_id").groupBy(*keys).agg(*carried, *[at(i) for i in range(3)])
+    met = F.collect_list(F.struct("pos", "value")).alias("_met")
+    joined = panel.join(wanted, "series_id").groupBy(*keys).agg(*carried, met)
+    at = lambda i: F.array_max(F.transform(F.filter("_met", lambda x: x["pos"] == i), lambda x: x["value"]))
+    sources = F.transform(F.sequence(F.lit(0), F.col("n_sources") - 1), at)
+    joined = joined.withColumn("sources", sources).withColumns({"s0": F.get("sources", F.lit(0)), "s1": F.get("sources", F.lit(1))})
     w = W.by("entity_id", "component")
-    raw = joined.withColumn("_raw", _dispatch(COMBINE, lambda fn: fn(), F.col("s0")))
-    moved = raw.withColumn("_x", _dispatch(CHANGE, lambda fn: fn("_raw", w), F.col("_raw")))
+    raw = joined.withColumn("_raw", _dispatch({**COMBINE, **(combine or {})}, lambda fn: fn(), F.col("s0")))
+    moved = raw.withColumn("_x", _dispatch({**CHANGE, **(change or {})}, lambda fn: fn("_raw", w), F.col("_raw")))
     return moved.select(*keys, "composite", (W.expanding_z("_x", w, Z_MIN) * F.col("sign")).alias("z"))
 
 

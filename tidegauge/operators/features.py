@@ -18,14 +18,9 @@ from tidegauge.operators.align import pivot_wide, unpivot_long
 from tidegauge.sources import catalog
 
 FLAG_DIGITS = 9
+#: Rows that the standard transforms look back.
+REACH = 12
 
-SOURCES = (
-    "leading_T10Y3M leading_T10Y2Y leading_GS2 leading_TB3MS financial_BAMLH0A0HYM2 financial_BAMLC0A0CM "
-    "coincident_UNRATE monetary_BAA10Y monetary_TEDRATE financial_NFCI monetary_DFF term_structure_THREEFYTP10 "
-    "housing_CSUSHPINSA coincident_IURSA leading_PRFI leading_PCDG leading_PNFI coincident_PAYEMS coincident_JTSJOL "
-    "coincident_UNEMPLOY coincident_JTSQUR coincident_CIVPART coincident_EMRATIO coincident_USGOOD coincident_USSERV "
-    "financial_DRTSCILM financial_DRTSCIS financial_DRTSCLCC financial_DRSDCILM financial_TOTALSL"
-).split()
 
 # Output columns per block, in the order of the tiers.
 BLOCKS = {
@@ -146,7 +141,7 @@ def _spread_dynamics(x: str, prefix: str, w) -> dict[str, Column]:
 
 def wide_features(panel: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """All cross-series columns of the tiers, from a long panel with the catalogue's series names."""
-    wide = pivot_wide(panel, SOURCES, [*keys, "entity_id", "period_end"])
+    wide = pivot_wide(panel, catalog.FEATURE_SOURCES, [*keys, "entity_id", "period_end"])
     w = W.by(*keys, "entity_id")
     c = F.col
 
@@ -241,8 +236,8 @@ def layer(feature: str = "feature") -> Column:
 
 
 def block_members(name: str) -> list[str]:
-    raw = catalog.BLOCK_RAW[name].split()
-    return catalog.BLOCK_ENGINEERED[name].split() + raw + [r + s for r in raw for s in catalog.STANDARD_SUFFIXES]
+    raw = list(catalog.BLOCK_RAW[name])
+    return [*catalog.BLOCK_ENGINEERED[name], *raw] + [r + s for r in raw for s in catalog.STANDARD_SUFFIXES]
 
 
 def block(feature: str = "feature") -> Column:

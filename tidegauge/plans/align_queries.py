@@ -152,12 +152,10 @@ def a14(t):
 
 
 @query("a15_no_infinities", sql=f"""
-SELECT {PANEL}, ROUND(value / NULLIF(prev, 0) - 1, 6) AS growth FROM (SELECT *, LAG(value) OVER {B.over()} AS prev FROM panel
-WHERE series_id = 'urgent_share')""")
+SELECT {PANEL}, ROUND(value / NULLIF(prev, 0) - 1, 6) AS growth FROM (SELECT *, LAG(value) OVER {B.over()} AS prev FROM panel)""")
 def a15(t):
-    urgent = t.panel.where("series_id = 'urgent_share'")
     growth = ratio("value", F.lag("value").over(W.series_window())) - 1
-    return urgent.select(*align.KEYS, "period_end", F.round(growth, 6).alias("growth"))
+    return t.panel.select(*align.KEYS, "period_end", F.round(growth, 6).alias("growth"))
 
 
 @query("a16_month_key", sql="SELECT strftime(period_end, '%Y-%m') AS month_key, SUM(flag) AS in_event, COUNT(*) AS n FROM regime GROUP BY 1")

@@ -37,12 +37,12 @@ def b01_shared(t):
     return K.realtime_features_shared(t.panel, t.origins, t.lags5).withColumn("value", F.round("value", 6))
 
 
-@query("b02_strict_frames", sql="""SELECT origin, entity_id, period_end, role, ROUND(value, 6) AS value, y FROM (SELECT *, CASE WHEN period_end <= last_day(origin - INTERVAL 6 MONTH) AND y IS NOT NULL THEN 'train'
+@query("b02_strict_frames", sql="""SELECT origin, entity_id, series_id, period_end, role, ROUND(value, 6) AS value, y FROM (SELECT *, CASE WHEN period_end <= last_day(origin - INTERVAL 6 MONTH) AND y IS NOT NULL THEN 'train'
  WHEN period_end = origin THEN 'predict' END AS role FROM origin_frame) WHERE role IS NOT NULL""")
 def b02(t):
     from tidegauge.plans.composite_queries import origin_frame
 
-    return K.strict_frames(origin_frame(t), 6).select("origin", "entity_id", "period_end", "role", F.round("value", 6).alias("value"), "y")
+    return K.strict_frames(origin_frame(t), 6).select("origin", "entity_id", "series_id", "period_end", "role", F.round("value", 6).alias("value"), "y")
 
 
 def scenario_frames(t, scenarios=("revised", "simulated", "vintage")) -> DataFrame:
@@ -334,9 +334,9 @@ _GATE = """COUNT(*) FILTER (in_scope) AS n_events, COUNT(*) FILTER (in_scope AND
  COUNT(*) FILTER (in_scope AND lead_delta_vs_baseline < -2.0) = 0 AS passed"""
 
 
-@query("t05_gate", sql=f"SELECT entity_id, {_GATE} FROM lead_matrix WHERE model = 'm1' GROUP BY 1")
+@query("t05_gate", sql=f"SELECT model, entity_id, {_GATE} FROM lead_matrix GROUP BY 1, 2")
 def t05(t):
-    return K.stability_gate(matrix(t).where("model = 'm1'"), ["entity_id"]).select("entity_id", "n_events", "n_unknown", "n_violations", "passed")
+    return K.stability_gate(matrix(t), ["model", "entity_id"]).select("model", "entity_id", "n_events", "n_unknown", "n_violations", "passed")
 
 
 @query("t06_retroactive_gate", sql=f"SELECT e.model, COALESCE(n_events, 0) AS n_events, COALESCE(n_violations, 0) AS n_violations, COALESCE(passed, FALSE) AS passed FROM (SELECT DISTINCT model FROM score_panel) e LEFT JOIN (SELECT model, {_GATE} FROM lead_matrix GROUP BY 1) g ON e.model = g.model")

@@ -273,9 +273,9 @@ def u05(t):
 
 
 @query("u06_fallback_rule", sql="""SELECT entity_id, CASE WHEN n < 24 OR p = 0 OR p = n THEN 'dirichlet' ELSE 'block_bootstrap' END AS method,
- CASE WHEN n < 24 OR p = 0 OR p = n THEN 'insufficient history' END AS reason FROM (SELECT entity_id, COUNT(*) AS n, SUM(y) AS p FROM labelled_n WHERE rn <= 30 GROUP BY 1)""")
+ CASE WHEN n < 24 OR p = 0 OR p = n THEN 'insufficient history' END AS reason FROM (SELECT entity_id, COUNT(*) AS n, SUM(y) AS p FROM labelled_n GROUP BY 1)""")
 def u06(t):
-    return U.bootstrap_method(numbered(t).where("rn <= 30"), ["entity_id"])
+    return U.bootstrap_method(numbered(t), ["entity_id"])
 
 
 B.add("coverage", f"""SELECT *, width >= 0.05 AND (has_mean OR has_rate) AS covered FROM (SELECT *, ci_upper - ci_lower AS width, ci_lower <= prob AND prob <= ci_upper AS has_mean, ci_lower <= rate AND rate <= ci_upper AS has_rate FROM (

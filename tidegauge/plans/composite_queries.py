@@ -14,14 +14,14 @@ from tidegauge.plans.registry import query
 from tidegauge.sources import catalog
 
 IDS = ["entity_id", "period_end"]
-_SOURCES = sorted({s for c in catalog.COMPONENTS for s in c[1].split()})
+_SOURCES = sorted({s for c in catalog.COMPONENTS for s in c[1]})
 B.add("gw", "SELECT entity_id, period_end, " + ", ".join(f'MAX(value) FILTER (series_id = \'{n}\') AS "{n}"' for n in _SOURCES)
       + f" FROM macro WHERE series_id IN ({', '.join(repr(n) for n in _SOURCES)}) GROUP BY 1, 2")
 _W = B.over("", "entity_id")
 
 
 def _raw(sources: str, transform: str) -> str:
-    s = [f'"{x}"' for x in sources.split()]
+    s = [f'"{x}"' for x in sources]
     level = f"({' - '.join(s)})"
     return {
         "zscore": s[0], "yoy": B.pct(s[0], 12, _W), "mom3": f"{s[0]} - LAG({s[0]}, 3) OVER {_W}", "mom1": f"{s[0]} - LAG({s[0]}, 1) OVER {_W}",
@@ -30,10 +30,10 @@ def _raw(sources: str, transform: str) -> str:
         "termstruct": f"1.0 - {s[0]} / CASE WHEN ABS({s[-1]}) > 1e-12 THEN {s[-1]} END"}[transform]
 
 
-B.add("composite_spec", B.values("c", "component, composite, sign", [(catalog.component_name(n, g), c, g) for n, _, _, g, c, _ in catalog.COMPONENTS]))
+B.add("composite_spec", B.values("c", "component, composite, sign", [(catalog.component_name(n, g), c, g) for n, _, _, g, c in catalog.COMPONENTS]))
 B.add("component_raw", "SELECT entity_id, period_end, component, x FROM (SELECT entity_id, period_end, "
-      + ", ".join(f'{_raw(s, tr)} AS "{catalog.component_name(n, g)}"' for n, s, tr, g, _, _ in catalog.COMPONENTS)
-      + " FROM gw) UNPIVOT INCLUDE NULLS (x FOR component IN (" + ", ".join(f'"{catalog.component_name(n, g)}"' for n, _, _, g, _, _ in catalog.COMPONENTS) + "))")
+      + ", ".join(f'{_raw(s, tr)} AS "{catalog.component_name(n, g)}"' for n, s, tr, g, _ in catalog.COMPONENTS)
+      + " FROM gw) UNPIVOT INCLUDE NULLS (x FOR component IN (" + ", ".join(f'"{catalog.component_name(n, g)}"' for n, _, _, g, _ in catalog.COMPONENTS) + "))")
 _UPC = B.upto("entity_id, component")
 B.add("component_z", f"SELECT entity_id, period_end, component, composite, sign * ({B.zscore('x', _UPC, 12)}) AS z FROM component_raw JOIN composite_spec USING (component)")
 B.add("composite_levels", "SELECT entity_id, period_end, composite, AVG(z) AS value FROM component_z GROUP BY 1, 2, 3")
@@ -116,9 +116,9 @@ _UP5 = B.upto("entity_id, component")
  SELECT entity_id, period_end, MAX(value) FILTER (series_id = 'revenue') / NULLIF(MAX(value) FILTER (series_id = 'orders'), 0) AS r FROM panel GROUP BY 1, 2))
 SELECT entity_id, period_end, component, ROUND({B.zscore('x', _UP5, 12)}, 6) AS z FROM raw""")
 def r01(t):
-    G.register_transform("ratio_diff6", combine=lambda: F.try_divide(F.col("s0"), F.col("s1")), change=lambda x, w: W.diff(x, 6, w))
-    own = catalog.composite_spec(t.spark, [("accel", "revenue orders", "ratio_diff6", 1, "growth", "own transform")])
-    return G.components(t.panel, own).select(*IDS, "component", F.round("z", 6).alias("z"))
+    own = catalog.composite_spec(t.spark, [("accel", ("revenue", "orders"), "ratio_diff6", 1, "growth")])
+    parts = G.components(t.panel, own, {"ratio_diff6": lambda: F.try_divide(F.col("s0"), F.col("s1"))}, {"ratio_diff6": lambda x, w: W.diff(x, 6, w)})
+    return parts.select(*IDS, "component", F.round("z", 6).alias("z"))
 
 
 # ---- labels -------------------------------------------------------------------
@@ -166,31 +166,30 @@ def l05(t):
     return L.time_folds(labelled(t)).select(F.col("fold").cast("bigint").alias("fold"), *IDS, "role")
 
 
-B.add("origin_frame", """SELECT m.origin, m.entity_id, m.period_end, m.value, s.y FROM masked m LEFT JOIN score_wide s
- ON m.entity_id = s.entity_id AND m.period_end = s.period_end WHERE m.series_id = 'revenue'""")
+B.add("origin_frame", """SELECT m.origin, m.entity_id, m.series_id, m.period_end, m.value, s.y FROM masked m LEFT JOIN score_wide s
+ ON m.entity_id = s.entity_id AND m.period_end = s.period_end""")
 
 
 def origin_frame(t):
-    """Revenue as known at each origin, with labels joined by month."""
-    revenue = masked(t).where("series_id = 'revenue'")
-    return revenue.join(t.score_wide.select(*IDS, "y"), IDS, "left").select("origin", *IDS, "value", "y")
+    """Every series as known at each origin, with labels joined by month."""
+    return masked(t).join(t.score_wide.select(*IDS, "y"), IDS, "left").select("origin", "entity_id", "series_id", "period_end", "value", "y")
 
 
-@query("l06_knowable_labels", sql="""SELECT origin, entity_id, COUNT(*) AS n_rows, MAX(period_end) AS last_train_month FROM origin_frame
-WHERE period_end <= last_day(origin - INTERVAL 6 MONTH) AND y IS NOT NULL GROUP BY 1, 2""")
+@query("l06_knowable_labels", sql="""SELECT origin, entity_id, series_id, COUNT(*) AS n_rows, MAX(period_end) AS last_train_month FROM origin_frame
+WHERE period_end <= last_day(origin - INTERVAL 6 MONTH) AND y IS NOT NULL GROUP BY 1, 2, 3""")
 def l06(t):
-    return L.knowable(origin_frame(t), 6).groupBy("origin", "entity_id").agg(
+    return L.knowable(origin_frame(t), 6).groupBy("origin", "entity_id", "series_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("period_end").alias("last_train_month"))
 
 
-@query("l07_origin_admissibility", sql="""WITH s AS (SELECT origin, entity_id, last_day(origin - INTERVAL 6 MONTH) AS label_cutoff,
+@query("l07_origin_admissibility", sql="""WITH s AS (SELECT origin, entity_id, series_id, last_day(origin - INTERVAL 6 MONTH) AS label_cutoff,
  COUNT(*) FILTER (period_end <= last_day(origin - INTERVAL 6 MONTH) AND y IS NOT NULL) AS train_rows,
  CAST(COALESCE(SUM(y) FILTER (period_end <= last_day(origin - INTERVAL 6 MONTH)), 0) AS BIGINT) AS train_positives,
- COUNT(*) FILTER (period_end = origin) AS at_o, COUNT(*) FILTER (period_end = origin AND y IS NOT NULL) AS lab FROM origin_frame GROUP BY 1, 2)
-SELECT origin, entity_id, label_cutoff, train_rows, train_positives, CASE WHEN train_rows < 48 THEN 'insufficient_history'
+ COUNT(*) FILTER (period_end = origin) AS at_o, COUNT(*) FILTER (period_end = origin AND y IS NOT NULL) AS lab FROM origin_frame GROUP BY 1, 2, 3)
+SELECT origin, entity_id, series_id, label_cutoff, train_rows, train_positives, CASE WHEN train_rows < 48 THEN 'insufficient_history'
  WHEN train_positives = 0 OR train_positives = train_rows THEN 'one_class' WHEN at_o = 0 THEN 'origin_missing' WHEN lab = 0 THEN 'label_unavailable' END AS reason FROM s""")
 def l07(t):
-    return L.origin_admissibility(origin_frame(t), 6, min_train=48)
+    return L.origin_admissibility(origin_frame(t), 6, min_train=48, keys=["origin", "entity_id", "series_id"])
 
 
 @query("l08_class_balance", sql="SELECT run_id, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS positives, ROUND(AVG(y), 6) AS positive_rate FROM score_rows GROUP BY 1")

@@ -13,8 +13,8 @@ IDS = ["entity_id", "period_end"]
 E = "entity_id"
 W0, UP = B.over("", E), B.upto(E)
 
-B.add("mw", "SELECT entity_id, period_end, " + ", ".join(f'MAX(value) FILTER (series_id = \'{n}\') AS "{n}"' for n in X.SOURCES)
-      + f", ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY period_end) AS rn FROM macro WHERE series_id IN ({', '.join(repr(n) for n in X.SOURCES)}) GROUP BY 1, 2")
+B.add("mw", "SELECT entity_id, period_end, " + ", ".join(f'MAX(value) FILTER (series_id = \'{n}\') AS "{n}"' for n in catalog.FEATURE_SOURCES)
+      + f", ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY period_end) AS rn FROM macro WHERE series_id IN ({', '.join(repr(n) for n in catalog.FEATURE_SOURCES)}) GROUP BY 1, 2")
 B.add("indicators", "SELECT * FROM macro WHERE NOT starts_with(series_id, 'ref_') AND series_id <> 'RECESSION'")
 _COUNTER = ", ".join(repr(r[0]) for r in catalog.series_rows() if r[6])
 B.add("at_risk", f"""SELECT entity_id, period_end, concat(series_id, '_AT_RISK') AS feature,
@@ -178,7 +178,7 @@ def f23(t):
     return X.flag_components(flags(t), names)
 
 
-CORE = catalog.MUST_INCLUDE[:-7]
+CORE = list(catalog.MUST_INCLUDE)
 
 
 @query("f24_must_include_audit", sql=f"""WITH req AS (SELECT UNNEST([{', '.join(repr(n) for n in CORE)}]) AS feature), have AS (SELECT DISTINCT variant, feature FROM feature_variants)

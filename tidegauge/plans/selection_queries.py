@@ -139,7 +139,7 @@ def k10(t):
 
 @query("k11_must_include")
 def k11(t):
-    return K.select_features(penalised(t), pool_features(t), MAX, catalog.MUST_INCLUDE[:5])
+    return K.select_features(penalised(t), pool_features(t), MAX, list(catalog.MUST_INCLUDE))
 
 
 @query("k12_binned_information", sql="""WITH c AS (SELECT entity_id, feature, bin, y, CAST(COUNT(*) AS DOUBLE) AS c FROM (

@@ -171,11 +171,10 @@ def w19(t):
     return t.score_panel.groupBy("entity_id", "model").agg(W.first_date_where(F.col("prob") >= 0.8).alias("first_crossing"))
 
 
-@query("w20_rank_with_tie_break", longs=("rank",), sql="""WITH s AS (SELECT entity_id, series_id, ROUND(AVG(value), 1) AS score FROM panel
- WHERE series_id IN ('orders', 'urgent_share', 'failed_share') GROUP BY 1, 2)
+@query("w20_rank_with_tie_break", longs=("rank",), sql="""WITH s AS (SELECT entity_id, series_id, ROUND(AVG(value), 1) AS score FROM panel GROUP BY 1, 2)
 SELECT entity_id, series_id, score, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY score DESC, series_id) AS rank FROM s""")
 def w20(t):
-    score = t.panel.where(F.col("series_id").isin("orders", "urgent_share", "failed_share")).groupBy("entity_id", "series_id").agg(
+    score = t.panel.groupBy("entity_id", "series_id").agg(
         F.round(F.avg(V), 1).alias("score"))
     order = Window.partitionBy("entity_id").orderBy(F.col("score").desc(), "series_id")
     return score.withColumn("rank", F.row_number().over(order))

@@ -27,16 +27,14 @@ SERIES5 = {
     "failed_share": "nf / n",
 }
 LEVELS = ["cents / 103700.0e0", "n", "cents / 103700.0e0 / n", "hi / 103700.0e0", "lo / 103700.0e0 + 1.0e0", "n1 + 1.0e0", "n3 + 2.0e0"]
-RATES = "UNRATE IURSA CIVPART EMRATIO JTSQUR GS2 TB3MS DFF BAA10Y TEDRATE BAMLH0A0HYM2 BAMLC0A0CM VIXCLS VXVCLS UEMPMEAN".split()
-SPREADS = "T10Y2Y T10Y3M NFCI ANFCI THREEFYTP10 DRTSCILM DRTSCIS DRTSCLCC DRSDCILM".split()
 
 
 def proxy_expression(i: int, source_id: str) -> str:
     """Arithmetic that stands in for catalogue series number ``i``."""
     a, b = i % 5 + 1, (i + 2) % 5 + 1
-    if source_id in SPREADS:
+    if source_id in catalog.SPREADS:
         return f"100.0e0 * (n{a} - n{b}) / n"
-    if source_id in RATES:
+    if source_id in catalog.RATES:
         return f"100.0e0 * n{a} / n"
     return LEVELS[i % len(LEVELS)]
 
