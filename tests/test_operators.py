@@ -152,7 +152,7 @@ def test_keyed_logit_fits_every_key_like_a_single_fit(spark):
     y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -2.0])))).astype(float)
     rows = [(k, float(a), float(b), float(c)) for k in ("one", "two") for (a, b), c in zip(x, y)]
     df = catalog.dimension(spark, rows, "k STRING, x1 DOUBLE, x2 DOUBLE, y DOUBLE")
-    coef = {r["k"]: np.array(r["coef"]) for r in keyed_logit.fit(df, ["k"], ["x1", "x2"], l2=1.0, steps=10).collect()}
+    coef = {r["k"]: np.array(r["coef"]) for r in keyed_logit.fit(df, ["k"], ["x1", "x2"], l2=1.0).collect()}
     d = np.c_[np.ones(400), x]
     b = np.zeros(3)
     for _ in range(25):
@@ -272,3 +272,24 @@ def test_components_read_all_their_sources(spark):
     expected = composites.components(wide, catalog.composite_spec(spark, [("net", ("net",), "zscore", 1, "growth")]))
     assert column(parts.where("component = 'net'"), "z") == column(expected, "z")
     assert set(column(parts.where("component = 'gap'"), "z")) == {None}
+
+
+def test_fits_report_whether_they_converged(spark):
+    """Separable labels push the coefficients away without end; the others settle."""
+    rows = [("apart", 0.1 + 0.02 * i, float(i >= 20)) for i in range(40)] + [("mixed", 0.1 + 0.02 * i, float(i % 3 == 0)) for i in range(40)]
+    df = dimension(spark, rows, "k STRING, prob DOUBLE, y DOUBLE")
+    done = {r["k"]: r["converged"] for r in C.slope_intercept(df, ["k"], most_steps=12).collect()}
+    assert done == {"apart": False, "mixed": True}
+    keyed = {r["k"]: r["converged"] for r in keyed_logit.fit(df, ["k"], ["prob"], l2=1.0).collect()}
+    assert keyed == {"apart": True, "mixed": True}
+    scored = keyed_logit.score(dimension(spark, [("mixed", 0.5), ("unknown", 0.5)], "k STRING, prob DOUBLE"), keyed_logit.fit(df, ["k"], ["prob"]), ["k"], ["prob"], "p")
+    assert {r["k"]: r["p"] is None for r in scored.collect()} == {"mixed": False, "unknown": True}
+
+
+def test_caps_follow_the_given_order(spark):
+    rows = [("r", "a", 1, 0.5), ("r", "b", 0, 0.45), ("r", "c", 2, 0.05)]
+    df = dimension(spark, rows, "run_id STRING, model STRING, place INT, weight DOUBLE")
+    by_name = {r["model"]: r["weight"] for r in ensemble.cap_and_floor(df, ["run_id"], passes=1).collect()}
+    by_place = {r["model"]: r["weight"] for r in ensemble.cap_and_floor(df, ["run_id"], passes=1, order="place").collect()}
+    assert by_name["b"] == pytest.approx(0.4) and by_name["a"] > 0.4
+    assert by_place["a"] == pytest.approx(0.4) and by_place["b"] > 0.4

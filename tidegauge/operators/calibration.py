@@ -72,12 +72,13 @@ def brier_parts(scores: DataFrame, keys: list[str], n_bins: int = 10) -> DataFra
     return sums.select(*keys, "reliability", "resolution", unc.alias("uncertainty"), (F.col("reliability") - F.col("resolution") + unc).alias("brier_total"))
 
 
-def slope_intercept(scores: DataFrame, keys: list[str], steps: int = 10, weight: str | None = None) -> DataFrame:
+def slope_intercept(scores: DataFrame, keys: list[str], most_steps: int = 40, tolerance: float = 1e-9, weight: str | None = None) -> DataFrame:
     """Unpenalised logistic fit of the label on logit(score), for every key at once.
 
     Each Newton step is one aggregation of five sums per key and a 2 x 2 solve, on
-    distinct scores that are checkpointed once; only coefficients move between steps.
-    One-class keys have no row in the result.
+    distinct scores that are written once; the small coefficient table is written after
+    every step, so that its size is known to the join. Steps go on until the largest is
+    within the tolerance; ``converged`` says so per key. One-class keys have no row.
     """
     if weight:
         cells = scores.groupBy(*keys, "prob").agg(
@@ -89,7 +90,7 @@ def slope_intercept(scores: DataFrame, keys: list[str], steps: int = 10, weight:
     coef = data.groupBy(*keys).agg(F.sum("t").alias("_p"), F.sum("n").alias("_n")).where("_p > 0 and _p < _n").select(
         *keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
     x, n = F.col("x"), F.col("n")
-    for _ in range(steps):
+    for _ in range(most_steps):
         mu = sigmoid(F.col("a") * x + F.col("b"))
         w, r = n * mu * (1 - mu), F.col("t") - n * mu
         sums = data.join(coef, keys).groupBy(*keys, "a", "b").agg(
@@ -97,14 +98,20 @@ def slope_intercept(scores: DataFrame, keys: list[str], steps: int = 10, weight:
         det = F.col("h11") * F.col("h22") - F.col("h12") * F.col("h12")
         da = F.try_divide(F.col("h22") * F.col("ga") - F.col("h12") * F.col("gb"), det)
         db = F.try_divide(F.col("h11") * F.col("gb") - F.col("h12") * F.col("ga"), det)
-        coef = sums.select(*keys, (F.col("a") + F.coalesce(da, F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(db, F.lit(0.0))).alias("b"))
+        da, db = F.coalesce(da, F.lit(0.0)), F.coalesce(db, F.lit(0.0))
+        # a step over 5 is halved until it is not: far from the solution, Newton steps overshoot
+        size = F.greatest(F.abs(da), F.abs(db))
+        shrink = F.when(size > 5.0, F.pow(F.lit(0.5), F.ceil(F.log2(size / 5.0)))).otherwise(1.0)
+        coef = durable(sums.select(*keys, (F.col("a") + shrink * da).alias("a"), (F.col("b") + shrink * db).alias("b"), (size <= tolerance * F.greatest(F.lit(1.0), F.abs("a"), F.abs("b"))).alias("converged")))
+        if coef.where("not converged").isEmpty():
+            break
     return coef.withColumnsRenamed({"a": "slope", "b": "intercept"})
 
 
 def apply_sigmoid(scores: DataFrame, coef: DataFrame, keys: list[str], name: str = "calibrated") -> DataFrame:
     """Platt map on logit(score); scores of keys without a fit are only clipped."""
     fitted = sigmoid(F.col("slope") * logit("prob", LOGIT_EPS) + F.col("intercept"))
-    return scores.join(coef, keys, "left").withColumn(name, F.coalesce(fitted, clip("prob", 0.01, 0.99))).drop("slope", "intercept")
+    return scores.join(coef, keys, "left").withColumn(name, F.coalesce(fitted, clip("prob", 0.01, 0.99))).drop("slope", "intercept", "converged")
 
 
 def isotonic(train: DataFrame, target: DataFrame, name: str = "calibrated") -> DataFrame:

@@ -30,12 +30,13 @@ def decayed_weights(fold_scores: DataFrame, keys: list[str], n_folds: int, forge
     return raw.withColumn("weight", F.col("_s") / F.sum("_s").over(Window.partitionBy(*keys))).drop("_s")
 
 
-def cap_and_floor(weights: DataFrame, keys: list[str], cap: float = 0.40, floor: float = 0.02, passes: int = 3) -> DataFrame:
-    """Cap members in name order, hand the excess to the others in proportion, then floor and renormalise.
+def cap_and_floor(weights: DataFrame, keys: list[str], cap: float = 0.40, floor: float = 0.02, passes: int = 3, order: str = "model") -> DataFrame:
+    """Cap members in the order of a column (the result depends on it), hand the excess to the others in proportion, then floor and renormalise.
 
     Members of a run are few; their list is folded with array functions inside one row per run.
     """
-    runs = weights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("model", "weight"))).alias("m"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), "model", "weight")))
+    runs = weights.groupBy(*keys).agg(F.transform(listed, lambda x: F.struct(x["model"].alias("model"), x["weight"].alias("weight"))).alias("m"))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x["weight"])
 
     def cap_one(arr: Column, i: Column) -> Column:

@@ -28,10 +28,11 @@ def _linear(features: list[str]) -> Column:
 
 
 def fit(rows: DataFrame, keys: list[str], features: list[str], y: str = "y", weight: str | None = None,
-        l2: float | str = 1.0, steps: int = 6) -> DataFrame:
-    """Coefficients per key as the array ``coef`` (intercept first). One-class keys drop out.
+        l2: float | str = 1.0, most_steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
+    """Coefficients per key as the array ``coef`` (intercept first). One-class keys have no row.
 
     ``l2`` is a number or a column that is constant per key; the intercept is not penalised.
+    Newton steps, halved while they are over 5, go on until the largest is within the tolerance; ``converged`` says so per key.
     """
     strength = F.col(l2) if isinstance(l2, str) else F.lit(float(l2))
     w = F.col(weight) if weight else F.lit(1.0)
@@ -58,22 +59,26 @@ def fit(rows: DataFrame, keys: list[str], features: list[str], y: str = "y", wei
             old = np.stack(pdf["_c"].to_numpy())
             grad = g - np.einsum("nij,nj->ni", ridge, old)
             step = np.linalg.solve(h + ridge + 1e-9 * np.eye(k), grad[..., None])[..., 0]
-            yield pdf[keys].assign(_c=list(old + step))
+            size = np.abs(step).max(axis=1)
+            shrink = 0.5 ** np.ceil(np.log2(np.maximum(size / 5.0, 1.0)))
+            yield pdf[keys].assign(_c=list(old + shrink[:, None] * step), converged=size <= tolerance * np.maximum(1.0, np.abs(old).max(axis=1)))
 
-    for _ in range(steps):
+    for _ in range(most_steps):
         mu = sigmoid(_linear(features))
-        joined = data.join(coef, keys).withColumn("_mu", mu)
+        joined = data.join(coef.select(*keys, "_c"), keys).withColumn("_mu", mu)
         r, v = F.col("_w") * (F.col("_y") - F.col("_mu")), F.col("_w") * F.col("_mu") * (1 - F.col("_mu"))
         sums = joined.groupBy(*keys).agg(
             F.first("_c").alias("_c"), F.max("_l2").alias("_l2"), F.array(*[F.sum(r * xi) for xi in x]).alias("_g"),
             F.array(*[F.sum(v * x[i] * x[j]) for i, j in pairs]).alias("_h"))
-        coef = durable(sums.mapInPandas(solve, f"{names}, _c ARRAY<DOUBLE>"))
+        coef = durable(sums.mapInPandas(solve, f"{names}, _c ARRAY<DOUBLE>, converged BOOLEAN"))
+        if coef.where("not converged").isEmpty():
+            break
     return coef.withColumnRenamed("_c", "coef")
 
 
 def score(rows: DataFrame, coef: DataFrame, keys: list[str], features: list[str], name: str = "prob") -> DataFrame:
-    """Probability per row under its key's fit; rows of keys without a fit drop out."""
-    joined = rows.join(coef.withColumnRenamed("coef", "_c"), keys)
+    """Probability per row under its key's fit; NULL where the key has no fit."""
+    joined = rows.join(coef.select(*keys, F.col("coef").alias("_c")), keys, "left")
     return joined.withColumn(name, sigmoid(_linear(features))).drop("_c")
 
 

@@ -60,13 +60,13 @@ def predictor_interval(draws: DataFrame, rows: DataFrame, keys: list[str], predi
         F.percentile("value", tail).alias("ci_lower"), F.percentile("value", 1 - tail).alias("ci_upper"))
 
 
-def calibrator_bootstrap(train: DataFrame, draws: DataFrame, test: DataFrame, keys: list[str], level: float = 0.90, steps: int = 8) -> DataFrame:
+def calibrator_bootstrap(train: DataFrame, draws: DataFrame, test: DataFrame, keys: list[str], level: float = 0.90) -> DataFrame:
     """Refit the sigmoid on every replicate and score all test rows with each fit.
 
     A one-class replicate contributes the raw score.
     """
     resampled = draws.join(train.select(*keys, "rn", "prob", "y"), [*keys, "rn"])
-    coef = slope_intercept(resampled, [*keys, "replicate"], steps)
+    coef = slope_intercept(resampled, [*keys, "replicate"])
     all_reps = draws.select(*keys, "replicate").distinct().join(coef, [*keys, "replicate"], "left")
     packed = all_reps.groupBy(*keys).agg(F.collect_list(F.struct("replicate", "slope", "intercept")).alias("_fits"))
     x = F.ln(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("prob"))))
@@ -94,6 +94,10 @@ def final_band(rows: DataFrame, mean: str = "boot_mean", std: str = "boot_std",
     return df.withColumns({"ci_lower": lower, "ci_upper": upper}).drop("_w", "_lo", "_hi")
 
 
+def dirichlet_draws(weights: dict[str, float], draws: int = 200, seed: int = 42) -> np.ndarray:
+    return np.random.default_rng(seed).dirichlet([20 * w + 1 for w in weights.values()], size=draws)
+
+
 def weight_perturbation(scores: DataFrame, weights: dict[str, float], row: list[str], draws: int = 200, level: float = 0.90, seed: int = 42) -> DataFrame:
     """Band from Dirichlet(20 w + 1) member weights; ``scores`` has one column per member.
 
@@ -101,7 +105,7 @@ def weight_perturbation(scores: DataFrame, weights: dict[str, float], row: list[
     shipped as a literal; the rows never leave their partition.
     """
     names = list(weights)
-    sample = np.random.default_rng(seed).dirichlet([20 * weights[n] + 1 for n in names], size=draws)
+    sample = dirichlet_draws(weights, draws, seed)
     table = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in sample])
     values = F.transform(table, lambda w: sum((w[i] * F.col(n) for i, n in enumerate(names)), F.lit(0.0)))
     df = scores.select(*row, F.array_sort(values).alias("_v"))

@@ -267,9 +267,15 @@ def u04(t):
     return df.select("entity_id", "period_end", *r6(df, "ci_lower", "ci_upper"))
 
 
-@query("u05_weight_perturbation")
+MIX = {"m1": 0.5, "m2": 0.3, "m3": 0.2}
+_DRAWS = B.values("w", "w1, w2, w3", [tuple(float(x) for x in r) for r in U.dirichlet_draws(MIX)])
+
+
+@query("u05_weight_perturbation", sql=f"""SELECT entity_id, period_end, ROUND(ensemble, 6) AS ensemble, ROUND(AVG(v), 6) AS boot_mean, ROUND(STDDEV_POP(v), 6) AS boot_std, ROUND(QUANTILE_CONT(v, 0.05), 6) AS ci_lower,
+ ROUND(QUANTILE_CONT(v, 0.95), 6) AS ci_upper FROM (SELECT entity_id, period_end, ensemble, w1 * m1 + w2 * m2 + w3 * m3 AS v FROM labelled, ({_DRAWS})) GROUP BY 1, 2, ensemble""")
 def u05(t):
-    return U.weight_perturbation(labelled(t), {"m1": 0.5, "m2": 0.3, "m3": 0.2}, ["entity_id", "period_end", "ensemble"])
+    df = U.weight_perturbation(labelled(t), MIX, ["entity_id", "period_end", "ensemble"])
+    return df.select("entity_id", "period_end", *r6(df, "ensemble", "boot_mean", "boot_std", "ci_lower", "ci_upper"))
 
 
 @query("u06_fallback_rule", sql="""SELECT entity_id, CASE WHEN n < 24 OR p = 0 OR p = n THEN 'dirichlet' ELSE 'block_bootstrap' END AS method,
@@ -299,10 +305,12 @@ def u08(t):
 # ---- named transforms of the bootstrap -------------------------------------------
 
 
-@query("r03_pluggable_predictor")
+@query("r03_pluggable_predictor", sql="""SELECT entity_id, rn, ROUND(AVG(v), 6) AS boot_mean, ROUND(STDDEV_POP(v), 5) AS boot_std, ROUND(QUANTILE_CONT(v, 0.05), 6) AS ci_lower,
+ ROUND(QUANTILE_CONT(v, 0.95), 6) AS ci_upper FROM (SELECT b.entity_id, b.rn, 0.5 * n.ensemble + 0.5 * AVG(n.ensemble) OVER (PARTITION BY b.entity_id, b.replicate) AS v FROM boot b JOIN labelled_n n ON b.entity_id = n.entity_id AND b.rn = n.rn) GROUP BY 1, 2""")
 def r03(t):
     rows = numbered(t).select("entity_id", "rn", F.col("ensemble").alias("prob"), "y")
-    return U.predictor_interval(draws(t), rows, ["entity_id"], lambda pdf: 0.5 * pdf["prob"] + 0.5 * pdf["prob"].mean())
+    out = U.predictor_interval(draws(t), rows, ["entity_id"], lambda pdf: 0.5 * pdf["prob"] + 0.5 * pdf["prob"].mean())
+    return out.select("entity_id", F.col("rn").cast("bigint").alias("rn"), F.round("boot_mean", 6).alias("boot_mean"), F.round("boot_std", 5).alias("boot_std"), *r6(out, "ci_lower", "ci_upper"))
 
 
 def last_rows(t, k):
