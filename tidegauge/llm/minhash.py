@@ -5,10 +5,11 @@
    (optimal densification: the draws depend on the bin only, so equal sets agree and two bins do not copy together).
 2. Texts with equal shingle sets form a class, named by its smallest doc_id; only classes go on.
 3. Bins are banded. A bucket holds the classes that agree on a whole band.
-4. Candidate edges are stars: a bucket's members are compared with its smallest one. Members that turn out not to be linked
-   with it, even through others, stay open: further stars, with more and more centres taken from those outside a bucket's
-   largest component, compare them with all the rest. A bucket is done when its members are connected or have all been
-   compared, so no link between members of a bucket is lost, and members that are connected anyway are never paired.
+4. Candidate edges are stars: a bucket's members are compared with its smallest one, then those that are not connected
+   with the bucket's largest component are compared with another member of it, drawn anew in every turn, as long as turns
+   find links. Each turn gives at most one pair for a member of a bucket.
+   Members that are still outside after that are compared with all the rest by exact set intersections of whole blocks, from
+   which only links come out. So no link between members of a bucket is lost, and no pairs of a group are listed.
 5. Links are confirmed on the full sets, taken anew from the texts. Components come from star contraction.
 
 The number of bands makes the chance that two texts at the limit share no bucket less than one in ten million. A text with
@@ -132,35 +133,95 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links_of(entries: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of each text."""
+
+    def run(batches):
+        for batch in slices(batches):
+            value, row = shingle_sets(*text_bytes(batch), width)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def common_counts(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of another."""
+    sides = []
+    for lists in (left, right):
+        size = np.asarray(lists.value_lengths())
+        sides.append((lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), size)))
+    (tokens, row), (other, other_row) = sides
+    order = np.argsort(other, kind="stable")
+    other, other_row = other[order], other_row[order]
+    begin, end = np.searchsorted(other, tokens), np.searchsorted(other, tokens, side="right")
+    times = end - begin
+    at = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    return np.bincount(np.repeat(row, times) * len(right) + other_row[at], minlength=len(left) * len(right)).reshape(len(left), len(right))
+
+
+def settle(rows: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 1 << 14) -> DataFrame:
+    """All links (a, b) between different labels of members of the open buckets ``rows`` (bucket, node, n, label, main).
+
+    Buckets with the same smallest member are a family. Those members that are outside the largest component of a bucket are
+    compared with the whole family, in blocks of about ``block`` shingles: a task has one block of each, and only links leave it.
+    """
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("family"))
+    members = rows.join(hubs, "bucket").groupBy("family", "node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("open"))
+    members = durable(members)
+    parts = members.groupBy("family").agg(
+        F.ceil(F.sum("n") / block).cast("int").alias("ways"), F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / block).cast("int").alias("open_ways")).where("open_ways > 0")
+    members = durable(members.join(parts, "family").join(sets_of(texts.join(members.select("node").distinct(), "node", "left_semi"), width), "node"))
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", "label", "shingles"]
+    left = members.select("family", slot("ways").alias("way"), every("open_ways").alias("open_way"), *columns)
+    right = members.where("open").select("family", every("ways").alias("way"), slot("open_ways").alias("open_way"), *columns)
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        one, two = one.combine_chunks(), two.combine_chunks()
+        column = lambda t, n: t.column(n).chunk(0) if t.num_rows else pa.array([], t.schema.field(n).type)
+        sets = [column(t, "shingles") for t in (one, two)]
+        common = common_counts(*sets)
+        total = np.asarray(sets[0].value_lengths())[:, None] + np.asarray(sets[1].value_lengths())[None, :] - common
+        labels = [column(t, "label").to_numpy() for t in (one, two)]
+        i, j = np.nonzero((100 * common >= percent * total) & (common > 0) & (labels[0][:, None] != labels[1][None, :]))
+        return pa.table({"a": column(one, "node").take(pa.array(i)), "b": column(two, "node").take(pa.array(j))})
+
+    keys = ["family", "way", "open_way"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def links_of(entries: DataFrame, texts: DataFrame, width: int, percent: int, worth: float = 0.05) -> DataFrame:
     """Labels (node, label) of all nodes that are linked, from bucket entries (bucket, node, n)."""
-    labels, tested, links, centres_per_bucket, live = None, None, None, 1, entries
+    labels, tested, links, turn = None, None, None, 0
     while True:
-        rows = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if centres_per_bucket == 1:
+        if labels is None:
+            rows = entries.withColumn("label", F.col("node"))
             centre = rows.groupBy("bucket").agg(F.min(F.struct("node", "n", "label")).alias("c"))
+            outside = rows
         else:
+            rows = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             parts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
             largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
             rows = durable(rows.join(largest.select("bucket", "main"), "bucket"))
-            if rows.isEmpty():  # in every bucket the members are connected
+            outside = rows.where("label != main")
+            waiting = outside.select("node").distinct().count()
+            if not waiting:  # in every bucket the members are connected
                 return labels
-            slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(centres_per_bucket))
-            centre = rows.where("label != main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "n", "label")).alias("c"))
-        centre = durable(centre.select("bucket", "c"))
+            if gained < worth * waiting:
+                last = settle(rows, texts, width, percent)
+                return durable(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last)))
+            centre = rows.where("label = main").groupBy("bucket").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "bucket", F.lit(turn))).alias("c"))
         near = (F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
-        pairs = rows.join(centre, "bucket").where(near).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        pairs = outside.join(centre, "bucket").where(near).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        # a centre has now met all others of its bucket
-        live = durable(rows.select("bucket", "node", "n").join(centre.select("bucket", F.col("c.node").alias("node")), ["bucket", "node"], "left_anti"))
-        if not pairs.isEmpty():
-            new = durable(confirm(pairs, texts, width, percent))
-            tested = pairs if tested is None else tested.union(pairs)
-            links = new if links is None else links.union(new)
-            labels = durable(components(links))
-        elif live.isEmpty():
-            return labels
-        centres_per_bucket *= 8
+        new = durable(confirm(pairs, texts, width, percent))
+        gained = new.count()
+        tested = pairs if tested is None else tested.union(pairs)
+        links = new if links is None else links.union(new)
+        labels = durable(components(links))
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -174,7 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     nodes = entries.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").join(nodes, "doc_id", "left_semi")
     texts = durable(texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(F.col("doc_id").alias("node"), "text"))
-    labels = links_of(entries, texts, width, percent)
+    labels = None if entries.isEmpty() else links_of(entries, texts, width, percent)
     named = classes.select("k1", "k2", "node")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
     out = signed.drop("buckets").join(named.select("k1", "k2", "label"), ["k1", "k2"], "left")
@@ -192,6 +253,30 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     return left.select(*docs.columns)
 
 
-@query("op7_minhash")
+SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY 1
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT edges.b, reached.other FROM reached JOIN edges ON edges.a = reached.doc_id
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
+
+@query("op7_minhash", SQL)
 def op7(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
