@@ -81,6 +81,33 @@ def test_redaction(docs):
     assert out == {1: ("a [assign] b", 12), 2: (None, None), 3: ("clean", 5)}
 
 
+def test_private_keys_go_with_their_bodies(docs):
+    import random
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    rows_, bodies = [], {}
+    forms = [("RSA PRIVATE KEY", ""), ("PRIVATE KEY", ""), ("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n"), ("EC PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n")]
+    for label, extra in forms:
+        for end in (True, False):
+            for join in ("\n", "\r\n", "\\n", "\n    ", "\n> ", '" +\n"'):
+                body = [line(64) for _ in range(5)] + [line(22) + "==", "=" + line(4)][: 2 if "PGP" in label else 1]
+                if not end and "PGP" not in label:
+                    body.append(line(9))  # cut off inside a line
+                text = f"before -----BEGIN {label}-----" + join + extra.replace("\n", join) + join.join(body) + (f"{join}-----END {label}-----" if end else "") + "\nsome words after it"
+                bodies[len(rows_)] = (body, text)
+                rows_.append((len(rows_), text))
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(rows_)).collect()}
+    for i, (body, text) in bodies.items():
+        assert not any(x in out[i] for x in body), (text, out[i])
+        assert out[i].startswith("before [private_key]") and out[i].endswith("some words after it") and "-----" not in out[i]
+    two = "-----BEGIN PRIVATE KEY-----\n" + line(64) + "\nkept words here\n-----BEGIN PRIVATE KEY-----\n" + line(64) + "\n-----END PRIVATE KEY-----\nkept too"
+    plain = "a key starts with -----BEGIN RSA PRIVATE KEY----- and then words, -----END CERTIFICATE----- is no end of it"
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs([(1, two), (2, plain)])).collect()}
+    assert out[1] == "[private_key]\nkept words here\n[private_key]\nkept too"
+    assert out[2] == "a key starts with [private_key] and then words, -----END CERTIFICATE----- is no end of it"
+
+
 def test_quality_base_counts(spark, docs):
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     table = rows(FOLDER, "documents", "doc_id, text")

@@ -5,6 +5,8 @@ to lower case). For every block of rows an inverted index of the trigrams that o
 ascending row numbers. Intersecting and uniting postings gives a rule's candidate rows, and only those are searched with the
 expression. A rule without mandatory trigrams searches every row. Blocks are independent, so nothing is shuffled.
 
+A private key is its header line, its body and its END line, so that nothing of the secret is left when the span is replaced.
+
 Matches are the leftmost non-overlapping ones of a rule; matches that fail the rule's condition are dropped after matching.
 Spans count code points, end exclusive.
 
@@ -45,11 +47,19 @@ class Rule:
 
 
 KEYWORDS = "|".join([any_case("password"), any_case("passwd"), any_case("secret"), any_case("token"), any_case("api") + "_?" + any_case("key")])
+#: What stands between the lines of a key: blanks, line ends (also written as \n), marks of quotes, comments and joined strings.
+BETWEEN = r"""(?:\\[nrt]|[\s>#*|"',;\\]|\+(?=\s))"""
+LABEL = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: Header, body and END line. Up to the next BEGIN or END mark everything is body; where that is no END line of a private key, the
+#: body is what follows as armour headers and base64 lines, with a short last line and a checksum. A header alone counts too.
+PRIVATE_KEY = rf"""-----BEGIN {LABEL}(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END {LABEL}\
+|(?:{BETWEEN}*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\n\\]*+)*+(?:{BETWEEN}++[A-Za-z0-9+/]{{16,}}+={{0,2}})++\
+(?:{BETWEEN}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=\\[nr]|["']|[\x20\t\r]*(?:\n|\Z))))?(?:{BETWEEN}++=[A-Za-z0-9+/]{{4}})?)?""".replace("\\\n", "")
 RULES = (
     Rule("assign", rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True, r"[0-9a-f]{24,}"),  # both match maximal runs
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
