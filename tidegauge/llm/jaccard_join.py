@@ -233,12 +233,11 @@ def verified(pairs: DataFrame, width: int, percent: int) -> DataFrame:
 KEYS = ["level", "hub"]
 
 
-def leaves_of(members: DataFrame) -> DataFrame:
+def leaves_of(members: DataFrame, salts: Salts) -> DataFrame:
     """Add ``leaf``: members of a tree in the order of component and size, cut by their shingles. Components of one come first."""
     parts = members.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    salts = Salts(parts.groupBy(*KEYS).agg(F.sum("_c").alias("_c")), KEYS, "_c")
     # a component of several keeps together, points that are alone are ordered by size
-    marked = salts.many(members, "label").join(salts.many(parts, "label"), [*KEYS, "salt", "label"], "left")
+    marked = members.join(salts.one(parts), [*KEYS, "salt", "label"], "left")
     marked = marked.withColumn("_alone", F.col("_c").isNull()).withColumn("_first", F.when(F.col("_alone"), F.col("n")).otherwise(F.col("label")))
     marked = marked.withColumn("_weight", F.greatest("n", F.lit(LEAST)))
     order = [F.col("level"), F.col("hub"), F.col("_alone").desc(), F.col("_first"), F.col("n"), F.col("node")]
@@ -284,12 +283,14 @@ def boxes(rows: DataFrame) -> DataFrame:
 
 
 def descend(leaves: DataFrame, percent: int) -> DataFrame:
-    """(level, hub, one, two): the pairs of different leaves that may hold links of different components, from leaf boxes."""
+    """(level, hub, one, two): the pairs of different leaves that may hold links of different components, from leaf boxes.
+
+    Boxes are put into boxes until a tree has at most ``FAN``; all pairs of those are tried, then the pairs of their children.
+    """
     heights = [durable(leaves)]
-    while heights[-1].groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").limit(1).count():
-        above = heights[-1].withColumn("id", F.floor(F.col("id") / FAN).cast("bigint"))
-        heights.append(durable(boxes(above)))
-    pairs = heights[-1].select(*KEYS, F.col("id").alias("one"), F.col("id").alias("two"))
+    while heights[-1].groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > FAN).limit(1).count():
+        heights.append(durable(boxes(heights[-1].withColumn("id", F.floor(F.col("id") / FAN).cast("bigint")))))
+    pairs = None
 
     def run(batches):
         for batch in batches:
@@ -299,11 +300,12 @@ def descend(leaves: DataFrame, percent: int) -> DataFrame:
                 or bool(may_link(*(np.frombuffer(r[k], np.uint8) for k in ("low1", "high1", "low2", "high2")), percent)) for r in rows]
             yield batch.select([*KEYS, "one", "two"]).filter(pa.array(keep, pa.bool_()))
 
-    for below in reversed(heights[:-1]):
-        child = below.withColumn("parent", F.floor(F.col("id") / FAN).cast("bigint"))
+    for below in reversed(heights):
+        # above the top height, every tree is one box
+        child = below.withColumn("parent", F.lit(0).cast("bigint") if pairs is None else F.floor(F.col("id") / FAN).cast("bigint"))
         side = lambda k, parent: child.select(
             *KEYS, F.col("parent").alias(parent), *[F.col(c).alias(f"{c}{k}") for c in ("id", "low", "high", "least", "most", "label", "open")])
-        met = pairs.join(side(1, "one"), [*KEYS, "one"]).join(side(2, "two"), [*KEYS, "two"])
+        met = side(1, "one").join(side(2, "two"), KEYS) if pairs is None else pairs.join(side(1, "one"), [*KEYS, "one"]).join(side(2, "two"), [*KEYS, "two"])
         apart = (F.col("label1").isNull() | F.col("label2").isNull() | (F.col("label1") != F.col("label2"))) & (F.col("open1") | F.col("open2"))
         sizes = 100 * F.least("most1", "most2") >= percent * F.greatest("least1", "least2")
         met = met.where((F.col("id1") == F.col("id2")) | (F.col("id1") < F.col("id2")) & apart & sizes)
@@ -311,6 +313,20 @@ def descend(leaves: DataFrame, percent: int) -> DataFrame:
     return pairs.where("one < two")
 
 
+def meetings(one: list[dict], two: list[dict] | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each point of a leaf, the places in the other leaf (or later in the same one) of points of other components within the bound."""
+    other = one if two is None else two
+    n, label, open_ = (np.array([r[k] for r in other]) for k in ("n", "label", "open"))
+    counts = None if any(not r["counts"] for r in other) else np.array([np.frombuffer(r["counts"], np.uint8) for r in other])
+    for i, r in enumerate(one):
+        start = i + 1 if two is None else 0
+        ok = (100 * np.minimum(n[start:], r["n"]) >= percent * np.maximum(n[start:], r["n"])) & (label[start:] != r["label"]) & (open_[start:] | r["open"])
+        if counts is not None and r["counts"] and ok.any():
+            mine = np.frombuffer(r["counts"], np.uint8)
+            ok &= may_link(mine, mine, counts[start:], counts[start:], percent)
+        yield i, np.flatnonzero(ok) + start
+
+
 def compare(one: list[dict], two: list[dict] | None, percent: int) -> Iterator[tuple[int, int]]:
     """Links between two leaves, or within one: pairs of different components whose bound and whose sets reach the limit.
 
@@ -324,118 +340,165 @@ def compare(one: list[dict], two: list[dict] | None, percent: int) -> Iterator[t
         return x
 
     other = one if two is None else two
-    n = np.array([r["n"] for r in other])
-    counts = None if any(not r["counts"] for r in other) else np.array([np.frombuffer(r["counts"], np.uint8) for r in other])
-    sets: dict[int, np.ndarray] = {}
-
-    def shingles(r: dict) -> np.ndarray:
-        if id(r) not in sets:
-            sets[id(r)] = np.asarray(r["shingles"])
-        return sets[id(r)]
-
-    for i, r in enumerate(one):
-        start = i + 1 if two is None else 0
-        ok = 100 * np.minimum(n[start:], r["n"]) >= percent * np.maximum(n[start:], r["n"])
-        if counts is not None and r["counts"]:
-            mine = np.frombuffer(r["counts"], np.uint8)
-            ok &= may_link(mine, mine, counts[start:], counts[start:], percent)
-        for j in (np.flatnonzero(ok) + start).tolist():
+    for i, places in meetings(one, two, percent):
+        r = one[i]
+        for j in places.tolist():
             o = other[j]
-            if not (r["open"] or o["open"]) or root(r["label"]) == root(o["label"]):
+            if root(r["label"]) == root(o["label"]):
                 continue
-            common = len(np.intersect1d(shingles(r), shingles(o), assume_unique=True))
+            common = len(np.intersect1d(r["shingles"], o["shingles"], assume_unique=True))
             if common and 100 * common >= percent * (r["n"] + o["n"] - common):
                 parent[root(r["label"])] = root(o["label"])
                 yield r["node"], o["node"]
 
 
-def search(members: DataFrame, points: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links (a, b) that join components, from members (level, hub, node, n, label, open) of trees with several components."""
-    placed = durable(leaves_of(members).join(points, ["node", "level"]))
-    corner = [F.when(F.length("counts") > 0, F.col("counts")).alias(c) for c in ("low", "high")]
-    leaf = boxes(placed.select(*KEYS, F.col("leaf").alias("id"), *corner, F.col("n").alias("least"), F.col("n").alias("most"), "label", "open"))
-    pairs = descend(leaf, percent)
-    full = durable(placed.join(sets_of(texts.join(members.select("node").distinct(), "node", "left_semi"), width), "node"))
-    columns = ["node", "n", "label", "open", "counts", "shingles"]
-    alone = full.select(*KEYS, F.col("leaf").alias("one"), F.col("leaf").alias("two"), F.lit(0).alias("side"), *columns)
-    side = lambda k, name: pairs.join(full.withColumnRenamed("leaf", name), [*KEYS, name]).select(*KEYS, "one", "two", F.lit(k).alias("side"), *columns)
-    task = [*KEYS, "one", "two"]
-    dealt = alone.union(side(0, "one")).union(side(1, "two")).repartition(*task).sortWithinPartitions(*task, "side", "node")
+TASK = [*KEYS, "one", "two"]
+
+
+def by_task(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(left, right)`` on the rows of each pair of leaves (``right`` is None within a leaf), as rows of ``schema``; rows have a ``side``."""
+    names, types = schema.replace(",", "").split()[::2], [{"int": pa.int32(), "bigint": pa.int64()}[t] for t in schema.replace(",", "").split()[1::2]]
+    plain, with_sets = [c for c in rows.columns if c != "shingles"], "shingles" in rows.columns
 
     def run(batches):
         def done(now, held):
             left, right = ([r for r in held if r["side"] == k] for k in (0, 1))
-            found = list(compare(left, None if now[2] == now[3] else right, percent))
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            found = list(work(left, None if now[2] == now[3] else right))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
         now, held = None, []
         for batch in batches:
-            arrays = batch.column(batch.schema.get_field_index("shingles"))
-            slim = batch.select([*task, "side", *columns[:-1]]).to_pylist()
-            for i, r in enumerate(slim):
-                if (key := tuple(r[k] for k in task)) != now:
+            arrays = batch.column(batch.schema.get_field_index("shingles")) if with_sets else None
+            for i, r in enumerate(batch.select(plain).to_pylist()):
+                if (key := tuple(r[k] for k in TASK)) != now:
                     if held:
                         yield done(now, held)
                     now, held = key, []
-                r["shingles"] = arrays[i].values.to_numpy().copy()
+                if arrays is not None:
+                    r["shingles"] = arrays[i].values.to_numpy().copy()
                 held.append(r)
         if held:
             yield done(now, held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK, "side", "node").mapInArrow(run, schema)
+
+
+def search(members: DataFrame, points: DataFrame, docs: DataFrame, salts: Salts, width: int, percent: int) -> DataFrame:
+    """All links (a, b) that join components, from members (level, hub, salt, node, n, label, open) of trees with several components."""
+    placed = durable(leaves_of(members, salts).join(points, ["node", "level"]))
+    corner = [F.when(F.length("counts") > 0, F.col("counts")).alias(c) for c in ("low", "high")]
+    several = placed.groupBy(*KEYS).agg(F.count_distinct("leaf").alias("_c")).where("_c > 1").select(*KEYS)
+    spread = placed.join(salts.one(several), [*KEYS, "salt"])
+    leaf = boxes(spread.select(*KEYS, F.col("leaf").alias("id"), *corner, F.col("n").alias("least"), F.col("n").alias("most"), "label", "open"))
+    pairs = descend(leaf, percent)
+    columns = ["node", "n", "label", "open", "counts"]
+    alone = placed.select(*KEYS, F.col("leaf").alias("one"), F.col("leaf").alias("two"), F.lit(0).alias("side"), *columns)
+    side = lambda k, name: pairs.join(placed.withColumnRenamed("leaf", name), [*KEYS, name]).select(*TASK, F.lit(k).alias("side"), *columns)
+    every = alone.union(side(0, "one")).union(side(1, "two"))
+
+    def meeting(left, right):
+        """The points that meet another one: only their sets are fetched."""
+        met = set()
+        for i, places in meetings(left, right, percent):
+            if len(places):
+                met.add((0, left[i]["node"]))
+                met.update((int(right is not None), (left if right is None else right)[j]["node"]) for j in places.tolist())
+        key = [left[0][k] for k in TASK] if left else []
+        return [(*key, side_, node) for side_, node in met]
+
+    waiting = durable(by_task(every, meeting, "level int, hub bigint, one bigint, two bigint, side int, node bigint"))
+    sets = sets_of(texts_of(docs, waiting.select("node")), width)
+    of_points = placed.select(*KEYS, *columns).dropDuplicates([*KEYS, "node"])
+    full = waiting.join(of_points, [*KEYS, "node"]).join(sets, "node").select(*TASK, "side", *columns, "shingles")
+    return by_task(full, lambda left, right: compare(left, right, percent), "a bigint, b bigint").distinct()
+
 
+SENT = 4_000_000  #: ids that may be broadcast (32 MB); beyond that texts are shuffled to them
 
-def links_of(members: DataFrame, points: DataFrame, texts: DataFrame, width: int, percent: int, worth: float = 0.05) -> DataFrame:
-    """Labels (node, label) of all linked nodes, from the members (level, hub, salt, node, n) of the forest."""
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the documents in ``nodes``, each text of one once, written once."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string")).where("text is not null")
+    ids = durable(nodes.select("node").distinct())
+    texts = texts.join(F.broadcast(ids) if ids.count() <= SENT else ids, "node", "left_semi").withColumn("_h", F.xxhash64("text"))
+    return durable(texts.dropDuplicates(["node", "_h"]).select("node", "text"))
+
+
+def probe(outside: DataFrame, centres: DataFrame, points: DataFrame, salts: Salts, percent: int) -> DataFrame:
+    """(level, hub, salt, node, c): the members of trees that pass the bound with their tree's centre (level, hub, c, c_n)."""
+    c_points = centres.join(points.withColumnsRenamed({"node": "c", "counts": "c_counts"}), ["c", "level"])
+    pairs = outside.join(points, ["node", "level"]).join(salts.one(c_points), [*KEYS, "salt"]).where(near(percent) & (F.col("node") != F.col("c")))
+    return durable(bounded(pairs, percent).dropDuplicates(["node", "c"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, salts: Salts, width: int, percent: int) -> DataFrame:
+    texts = texts_of(docs, pairs.select("node").union(pairs.select(F.col("c").alias("node"))))
+    c_texts = pairs.select(*KEYS, "c").distinct().join(texts.withColumnsRenamed({"node": "c", "text": "c_text"}), "c")
+    # a centre's text for each salt, so that no task has all its pairs
+    return durable(verified(pairs.join(texts, "node").join(salts.one(c_texts), [*KEYS, "c", "salt"]), width, percent))
+
+
+def links_of(members: DataFrame, points: DataFrame, docs: DataFrame, width: int, percent: int, worth: float = 0.1) -> DataFrame:
+    """Labels (node, label) of all linked nodes, from the members (level, hub, node, n) of the forest.
+
+    Trees of more than a leaf are probed again as long as the bound leaves at least the part ``worth`` of the waiting nodes.
+    """
     salts = Salts(members.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_c")), KEYS, "_c")
     members = durable(salts.many(members, "node"))
-    labels, links, turn, waiting, gained = None, None, 0, 0, 0
+    first = members.groupBy(*KEYS).agg(F.min(F.struct("node", "n")).alias("m")).select(*KEYS, F.col("m.node").alias("c"), F.col("m.n").alias("c_n"))
+    links = confirmed(probe(members, first, points, salts, percent), docs, salts, width, percent)
+    turn = 0
     while True:
-        if labels is None:
-            outside = members.withColumn("label", F.col("node"))
-            centres = members.groupBy(*KEYS).agg(F.min(F.struct("node", "n")).alias("m")).select(*KEYS, F.col("m.node").alias("c"), F.col("m.n").alias("c_n"))
-        else:
-            rows = durable(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-            parts = rows.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("_c"))
-            several = durable(parts.groupBy(*KEYS).agg(F.max_by("label", F.struct("_c", "label")).alias("main"), F.count(F.lit(1)).alias("_p")).where("_p > 1").drop("_p"))
-            rows = durable(rows.join(salts.one(several), [*KEYS, "salt"]))
-            outside = rows.where("label != main")
-            waiting = outside.select("node").distinct().count()
-            if not waiting:  # every tree is one component
-                return labels
-            if gained < worth * waiting:
-                last = search(rows.select(*KEYS, "node", "n", "label", (F.col("label") != F.col("main")).alias("open")), points, texts, width, percent)
-                return durable(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last)))
-            drawn = rows.where("label = main").groupBy(*KEYS).agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("m"))
-            centres = drawn.select(*KEYS, F.col("m.node").alias("c"), F.col("m.n").alias("c_n"))
-        centres = durable(centres)
-        c_points = centres.join(points.withColumnsRenamed({"node": "c", "counts": "c_counts"}), ["c", "level"])
-        pairs = outside.join(points, ["node", "level"]).join(salts.one(c_points), [*KEYS, "salt"]).where(near(percent) & (F.col("node") != F.col("c")))
-        pairs = durable(bounded(pairs, percent).dropDuplicates(["node", "c"]))
-        c_texts = centres.join(texts.withColumnsRenamed({"node": "c", "text": "c_text"}), "c").select(*KEYS, "c_text")
-        new = durable(verified(pairs.join(texts, "node").join(salts.one(c_texts), [*KEYS, "salt"]), width, percent))
-        gained = new.count()
-        links = new if links is None else links.union(new)
         labels = durable(components(links))
-        turn += 1
+        rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parts = rows.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("_c"), F.sum(F.greatest("n", F.lit(LEAST))).alias("_w"))
+        main = F.max_by("label", F.struct("_c", "label")).alias("main")
+        several = parts.groupBy(*KEYS).agg(main, F.count(F.lit(1)).alias("_p"), F.sum("_w").alias("_w")).where("_p > 1").drop("_p")
+        rows = durable(rows.join(salts.one(several), [*KEYS, "salt"]))
+        if rows.isEmpty():  # every tree is one component
+            return labels
+        large = rows.where(F.col("_w") > LEAF)
+        waiting = large.where("label != main").select("node").distinct().count()
+        if waiting:
+            turn += 1
+            drawn = large.where("label = main").groupBy(*KEYS).agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("m"))
+            pairs = probe(large.where("label != main").drop("_w"), drawn.select(*KEYS, F.col("m.node").alias("c"), F.col("m.n").alias("c_n")), points, salts, percent)
+            if pairs.count() >= worth * waiting:
+                new = confirmed(pairs, docs, salts, width, percent)
+                if not new.isEmpty():
+                    links = links.union(new)
+                    continue
+        last = search(rows.select(*KEYS, "salt", "node", "n", "label", (F.col("label") != F.col("main")).alias("open")), points, docs, salts, width, percent)
+        return merged(labels, durable(last))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only the components that they join are contracted again."""
+    if links.isEmpty():
+        return labels
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(named)
+    again = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    kept = labels.join(again, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return durable(kept.union(joined.join(labels, "node", "left_anti").select("node", "label")))
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to, itself included)."""
     signed = durable(signatures(docs, width, percent))
-    classes = durable(signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
-    chosen = signed.join(classes.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
-    chosen = durable(chosen.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "cells", "points"))
+    rest = F.struct("n_shingles", "cells", "points")
+    chosen = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min_by(rest, "doc_id").alias("r"))
+    chosen = durable(chosen.select("k1", "k2", "node", F.col("r.n_shingles").alias("n"), "r.cells", "r.points"))
+    classes = chosen.select("k1", "k2", "node")
     every = chosen.select(F.explode("cells").alias("cell"), "node", "n")
     shared = durable(every.groupBy("cell").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_c")).where("_c > 1"))
     salts = Salts(shared, ["cell"], "_c")
     level = F.col("cell").bitwiseAND((1 << LEVEL_BITS) - 1).cast("int").alias("level")
     members = durable(salts.many(every, "node").join(salts.one(shared.select("cell", "hub")), ["cell", "salt"]).select(level, "hub", "node", "n").distinct())
-    nodes = durable(members.select("node").distinct())
+    nodes = members.select("node").distinct()
     points = durable(chosen.join(nodes, "node", "left_semi").select("node", F.explode("points").alias("p")).select("node", "p.level", "p.counts"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string")).where("text is not null").join(nodes, "node", "left_semi")
-    texts = durable(texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["node", "_h"]).select("node", "text"))
-    labels = None if members.isEmpty() else links_of(members, points, texts, width, percent)
+    labels = None if members.isEmpty() else links_of(members, points, docs, width, percent)
     named = classes.withColumn("label", F.col("node")) if labels is None else classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named.select("k1", "k2", "label"), ["k1", "k2"], "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label"))
