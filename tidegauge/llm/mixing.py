@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SPARK_WORD, WORD, running, table
+from tidegauge.llm.common import SPARK_WORD, WORD, running, slices, table
 from tidegauge.llm.registry import query
 from tidegauge.session import durable
 
@@ -151,7 +151,8 @@ def take(docs: DataFrame, **options) -> DataFrame:
     def run(batches):
         text_at = names.index("text")
         extra = len(names)
-        for batch in batches:
+        # a slice leaves as up to three copies of its texts, so slices and not whole batches are held
+        for batch in slices(batches, limit=1 << 20):
             batch = batch.select([*names, "_size", "passes", "from1", "to1", "from2", "to2"])
             rows, texts = [], []
             for i, text in enumerate(batch.column(text_at).to_pylist()):

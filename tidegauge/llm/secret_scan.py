@@ -84,7 +84,7 @@ def either(parts):
 
 def of_strings(strings) -> object:
     """What a text must contain to hold one of the strings."""
-    folded = [s.lower().encode() for s in strings]
+    folded = sorted({s.lower().encode() for s in strings})
     return either(both(*[s[i : i + 3] for i in range(len(s) - 2)]) for s in folded)
 
 
