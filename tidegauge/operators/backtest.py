@@ -66,23 +66,6 @@ def model_frame(panel: DataFrame, keys: list[str]) -> DataFrame:
 MODEL_FEATURES = ["x_revenue", "x_orders", "x_price", "x_urgent", "x_failed"]
 
 
-def strict_backtest(frames: DataFrame, keys: list[str], min_train: int = 180, l2: float | str = 1.0, threshold: float = 0.5, used: list[str] = MODEL_FEATURES) -> DataFrame:
-    """Fit every key on its training rows and predict its origin rows; all keys in the same jobs.
-
-    Keys that cannot be fitted stay as rows with a reason.
-    """
-    train = F.col("role") == "train"
-    scaled = keyed_logit.standardise(frames, keys, used, train)
-    stats = frames.where(train).groupBy(*keys).agg(F.count(F.lit(1)).alias("train_rows"), F.sum("y").alias("_p"))
-    ok = (F.col("train_rows") >= min_train) & (F.col("_p") > 0) & (F.col("_p") < F.col("train_rows"))
-    fitted = keyed_logit.fit(scaled.where(train).join(stats.where(ok).select(*keys), keys, "left_semi"), keys, used, l2=l2)
-    probs = keyed_logit.score(scaled.where("role = 'predict'"), fitted, keys, used).select(*keys, "entity_id", "prob")
-    reason = F.when(F.col("train_rows").isNull() | (F.col("train_rows") < min_train), "insufficient_history").when(~ok, "one_class").when(F.col("y").isNull(), "label_unavailable")
-    out = frames.where("role = 'predict'").select(*keys, "entity_id", "period_end", "y").join(stats, keys, "left").join(probs, [*keys, "entity_id"], "left")
-    return out.select(*keys, "entity_id", "period_end", F.col("y").alias("actual"), "prob", F.lit(threshold).alias("threshold"),
-                      F.when(F.col("prob").isNotNull(), (F.col("prob") >= threshold).cast("int")).alias("signal"), "train_rows", reason.alias("reason"))
-
-
 def origin_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and metrics over origins per candidate, on rows with an outcome and a score."""
     valid = results.where("actual is not null and prob is not null")
@@ -115,13 +98,19 @@ def event_windows(flags: DataFrame, before: int = 12, keys: list[str] = ["entity
     return spans.select(*keys, F.date_format("start_month", "yyyy-MM").alias("event"), shift_months("start_month", -before).alias("train_end"), "start_month", "end_month")
 
 
+def window_months(windows: DataFrame) -> DataFrame:
+    """Windows with one row per test month, so that they are joined by equality."""
+    months = F.sequence(F.date_add("train_end", 1), F.col("end_month"), F.expr("interval 1 month"))
+    return windows.where("train_end < end_month").withColumn("_m", F.explode(months)).withColumn("period_end", F.last_day("_m")).drop("_m")
+
+
 def event_results(scores: DataFrame, windows: DataFrame, keys: list[str], fixed: float, threshold: str = "threshold", trajectory: bool = False) -> DataFrame:
     """Per (key, event): peak, first crossing and lead at the run's own and at a fixed threshold, AUC, Brier.
 
-    ``scores`` carries keys, entity_id, period_end, prob, y and the own threshold. The join
-    is on the entity, with the window as a filter.
+    ``scores`` carries keys, entity_id, period_end, prob, y and the own threshold, and the event where a score belongs to one.
+    Windows meet scores by month.
     """
-    test = scores.join(windows, "entity_id").where((F.col("period_end") > F.col("train_end")) & (F.col("period_end") <= F.col("end_month")))
+    test = scores.join(window_months(windows), ["entity_id", "period_end", *(["event"] if "event" in scores.columns else [])])
     group = [*keys, "entity_id", "event"]
     first = lambda cond: W.first_date_where(cond)
     own, at_fixed, positive = F.col("prob") >= F.col(threshold), F.col("prob") >= fixed, F.col("y") == 1.0

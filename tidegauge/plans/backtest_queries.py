@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalars import shift_months
 from tidegauge.operators import align
 from tidegauge.operators import backtest as K
+from tidegauge.operators import features as FX
 from tidegauge.operators import metrics as V
+from tidegauge.operators import prefix_fits as PF
 from tidegauge.plans import oracle_base as B
 from tidegauge.plans.align_queries import masked, realtime_panel
 from tidegauge.plans.feature_queries import STANDARD
 from tidegauge.plans.metric_queries import metrics_sql, r6
 from tidegauge.plans.registry import query
+from tidegauge.session import durable
 from tidegauge.sources import catalog
 
 FIXED = 0.45
@@ -45,22 +49,100 @@ def b02(t):
     return K.strict_frames(origin_frame(t), 6).select("origin", "entity_id", "series_id", "period_end", "role", F.round("value", 6).alias("value"), "y")
 
 
-def scenario_frames(t, scenarios=("revised", "simulated", "vintage")) -> DataFrame:
-    """Strict frames of every scenario: what is known now, what was published, what its first versions said."""
-    cols = ["origin", "entity_id", "series_id", "period_end", "value"]
-    panels = {"revised": lambda: align.as_of(t.panel, t.origins), "simulated": lambda: masked(t), "vintage": lambda: realtime_panel(t)}
-    panel = reduce(DataFrame.unionByName, [panels[s]().select(F.lit(s).alias("scenario"), *cols) for s in scenarios])
-    frame = K.model_frame(panel, ["scenario", "origin"])
-    labelled = frame.join(t.score_wide.select("entity_id", "period_end", "y"), ["entity_id", "period_end"], "left")
-    return K.strict_frames(labelled, 6)
-
-
-KEYS = ["scenario", "origin"]
+HORIZON = 6
+#: Panel series whose high values are the weak ones.
+COUNTERCYCLICAL = ["failed_share", "urgent_share"]
+
+
+def whole_frame(panel, keys=()):
+    """Every feature of every series: values, standard transforms, at-risk flags."""
+    return FX.long_features(panel, COUNTERCYCLICAL, minimum=12, keys=keys)
+
+
+class Replay:
+    """Training sums, fits, thresholds and rows to predict of the backtests, over the whole feature frame.
+
+    Two training sets per origin: ``shared`` (features look back and the mask touches fewer months than the horizon, so revised and
+    lag-masked data train alike: running sums over months), and ``vintage`` (sums per origin over its own frame).
+    """
+
+    def __init__(self, t, scenarios, candidates, horizon=HORIZON):
+        self.t, self.horizon, self.candidates = t, horizon, candidates
+        longest = max(1, t.lags5.agg(F.max("lag_months")).first()[0] or 0)
+        self.sets = {"revised": "shared", "simulated": "shared" if longest <= horizon else "simulated", "vintage": "vintage"}
+        self.scenarios = scenarios
+        base = whole_frame(t.panel)
+        self.names = [r[0] for r in base.select("feature").distinct().orderBy("feature").collect()]  # series times transforms
+        self.scale = durable(PF.scale_of(base))
+        self.labels = t.score_wide.select("entity_id", "period_end", "y")
+        self.base = durable(self._labelled(PF.vectors(base, self.names, self.scale)))
+        self.first = self.base.agg(F.min("period_end")).first()[0]
+
+    def _labelled(self, rows):
+        return rows.join(self.labels, ["entity_id", "period_end"], "left")
+
+    @cached_property
+    def monthly(self):
+        return durable(PF.sums(self.base, ["period_end"], len(self.names)))
+
+    def frame(self, scenario):
+        """(origin, entity_id, period_end, x, y) as it looked at each origin."""
+        panels = {"revised": lambda: align.as_of(self.t.panel, self.t.origins), "simulated": lambda: masked(self.t), "vintage": lambda: realtime_panel(self.t)}
+        panel = panels[scenario]().select("origin", "entity_id", "series_id", "period_end", "value")
+        return self._labelled(PF.vectors(whole_frame(panel, ("origin",)), self.names, self.scale, ["origin"]))
+
+    @cached_property
+    def frames(self):
+        return {s: durable(self.frame(s)) for s in self.scenarios if s != "revised"}
+
+    def known(self, rows):
+        return rows.where((F.col("period_end") <= shift_months("origin", -self.horizon)) & F.col("y").isNotNull())
+
+    def cells(self, chosen):
+        if chosen == "shared":
+            cuts = self.t.origins.select("origin", shift_months("origin", -self.horizon).alias("cut"))
+            return PF.up_to(self.monthly, cuts, len(self.names)).join(cuts, "cut").select("origin", "i", "v")
+        return PF.sums(self.known(self.frames[chosen]), ["origin"], len(self.names))
+
+    @cached_property
+    def fitted(self):
+        used = sorted({self.sets[s] for s in self.scenarios})
+        cells = reduce(DataFrame.unionByName, [self.cells(u).withColumn("training", F.lit(u)) for u in used])
+        return durable(PF.fits(cells, ["training", "origin"], self.candidates, len(self.names)))
+
+    @cached_property
+    def thresholds(self):
+        parts = []
+        for used in sorted({self.sets[s] for s in self.scenarios}):
+            if used == "shared":
+                months = PF.training_months(self.t.origins.withColumn("first", F.lit(self.first)), "first", self.horizon)
+                rows = self.base.where("y is not null").join(months, "period_end")
+            else:
+                rows = self.known(self.frames[used])
+            parts.append(rows.select("origin", "entity_id", "period_end", "x", "y").withColumn("training", F.lit(used)))
+        scored = PF.scores(reduce(DataFrame.unionByName, parts), self.fitted.where("reason is null"), ["training", "origin"])
+        return durable(PF.own_thresholds(scored, ["training", "origin", "candidate_id"]))
+
+    def results(self):
+        """(scenario, origin, entity_id, candidate_id, ...) of every origin row."""
+        now = F.col("period_end") == F.col("origin")
+        parts = []
+        for s in self.scenarios:
+            rows = self.frames[s].where(now) if s != "revised" else self.base.join(self.t.origins.select("origin"), now)
+            parts.append(rows.select(F.lit(s).alias("scenario"), F.lit(self.sets[s]).alias("training"), "origin", "entity_id", "period_end", "x", "y"))
+        keys = ["training", "origin"]
+        out = PF.backtest(reduce(DataFrame.unionByName, parts), self.fitted, self.thresholds, keys, ["scenario"])
+        return out.drop("training")
+
+
+def candidates_of(*names):
+    """The curated candidates: how many features each keeps, and its penalty 1 / C."""
+    return [(c[0], c[2], 1.0 / float(c[4].get("logit.C", "0.1"))) for c in catalog.CANDIDATES if not names or c[0] in names]
 
 
 @query("b03_strict_backtest")
 def b03(t):
-    return K.strict_backtest(scenario_frames(t, ("simulated",)), KEYS)
+    return Replay(t, ["simulated"], candidates_of("baseline_50")).results()
 
 
 def candidate_rows(t):
@@ -89,23 +171,13 @@ def b05(t):
     return K.rank_candidates(K.origin_summary(candidate_rows(t), ["candidate_id"])).select("candidate_id", "rank")
 
 
-CANDIDATES = {"plain": 1.0, "strong": 20.0, "weak": 0.05}
-
-
 @query("b06_candidate_search")
 def b06(t):
-    """Every candidate on every origin in one keyed fit; the best two again on true vintages; final rank."""
-    def results(scenario, wanted=None):
-        frames = scenario_frames(t, (scenario,))
-        pairs = F.array(*[F.struct(F.lit(n).alias("candidate_id"), F.lit(v).alias("l2")) for n, v in CANDIDATES.items()])
-        frames = frames.select("*", F.inline(pairs))
-        if wanted is not None:
-            frames = frames.join(wanted, "candidate_id", "left_semi")
-        return K.strict_backtest(frames, ["candidate_id", "l2", "origin"], l2="l2")
-
-    first = results("simulated")
+    """Every curated candidate on every origin from the same sums; the best two again on true vintages; final rank."""
+    first = durable(Replay(t, ["simulated"], candidates_of()).results())
     ranked = K.rank_candidates(K.origin_summary(first, ["candidate_id"]))
-    audit = results("vintage", ranked.where("rank <= 2").select("candidate_id"))
+    best = [r[0] for r in ranked.where("rank <= 2").select("candidate_id").collect()]
+    audit = Replay(t, ["vintage"], candidates_of(*best)).results()
     both = audit.select("candidate_id", "origin", "entity_id", F.col("prob").alias("v")).join(
         first.select("candidate_id", "origin", "entity_id", "prob"), ["candidate_id", "origin", "entity_id"])
     gap = both.groupBy("candidate_id").agg(F.avg(F.abs(F.col("v") - F.col("prob"))).alias("vintage_mae"))
@@ -113,25 +185,23 @@ def b06(t):
     return final.select("candidate_id", "rank", "origins_tested", "auc", "pr_auc", "brier", "vintage_mae")
 
 
-WINDOWS = [("w1", "1998-06-30", "1999-06-30"), ("w2", "1999-06-30", "2000-06-30"), ("w3", "2000-03-31", "2001-02-28")]
-
-
 @query("b07_expanding_backtest")
 def b07(t):
-    """Fit on everything before each window, score the window, summarise its events per entity."""
-    spans = catalog.dimension(t.spark, [(n, catalog.month_end(a[:7]), catalog.month_end(z[:7])) for n, a, z in WINDOWS], "window STRING, train_to DATE, test_to DATE")
-    frame = K.model_frame(t.panel.withColumn("_k", F.lit(1)), ["_k"]).drop("_k").join(
-        t.score_wide.select("entity_id", "period_end", "y"), ["entity_id", "period_end"]).where("y is not null")
-    rows = frame.join(spans, F.col("period_end") <= F.col("test_to"))
-    train = F.col("period_end") <= F.last_day(F.add_months("train_to", -6))
-    scaled = K.keyed_logit.standardise(rows, ["window"], K.MODEL_FEATURES, train)
-    fit = K.keyed_logit.fit(scaled.where(train), ["window"], K.MODEL_FEATURES)
-    scored = K.keyed_logit.score(scaled.where(F.col("period_end") > F.col("train_to")), fit, ["window"], K.MODEL_FEATURES)
-    thresholds = scored.withColumn("threshold", F.round(F.avg("prob").over(Window.partitionBy("window", "entity_id")), 2))
-    whole = scored.groupBy("window", "entity_id").agg(F.min("train_to").alias("train_end"), F.max("test_to").alias("end_month"))
-    spans_by_entity = whole.select(F.col("window").alias("event"), "entity_id", "train_end", "end_month")
-    own = thresholds.withColumnRenamed("window", "run_window")
-    return K.event_results(own.withColumn("model", F.lit("keyed_logit")).where("run_window is not null"), spans_by_entity, ["model", "run_window"], FIXED).where("run_window = event")
+    """For every event, a fit on what was known at its window's beginning; the window is scored and summarised."""
+    spans = durable(windows(t))
+    frame = Replay(t, ["revised"], candidates_of("baseline_50"))
+    # windows that begin in the same month share a fit
+    begins = spans.select(F.col("train_end").alias("origin")).distinct()
+    cuts = begins.select("origin", shift_months("origin", -HORIZON).alias("cut"))
+    cells = PF.up_to(frame.monthly, cuts, len(frame.names)).join(cuts, "cut").select("origin", "i", "v")
+    fitted = durable(PF.fits(cells, ["origin"], frame.candidates, len(frame.names)))
+    months = PF.training_months(begins.withColumn("first", F.lit(frame.first)), "first", HORIZON)
+    trained = PF.scores(frame.base.where("y is not null").join(months, "period_end"), fitted.where("reason is null"), ["origin"])
+    thresholds = PF.own_thresholds(trained, ["origin", "candidate_id"])
+    test = frame.base.join(K.window_months(spans).select("entity_id", "event", "period_end", F.col("train_end").alias("origin")), ["entity_id", "period_end"])
+    scored = PF.backtest(test, fitted, thresholds, ["origin"], ["event"]).where("prob is not null")
+    own = scored.select("candidate_id", "entity_id", "event", "period_end", "prob", "threshold", F.col("actual").alias("y"))
+    return K.event_results(own, spans, ["candidate_id"], FIXED)
 
 
 # ---- event rows over the members' scores ---------------------------------------------
@@ -184,7 +254,7 @@ def b10(t):
 
 
 def scenario_results(t, scenarios):
-    return K.strict_backtest(scenario_frames(t, scenarios), KEYS)
+    return Replay(t, list(scenarios), candidates_of("baseline_50")).results()
 
 
 def scenario_gap(t, other):
