@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import exact_quantiles, score_cells
 from tidegauge.functions.scalars import clip, logit, sigmoid
+from tidegauge.operators import isotonic as monotone
+from tidegauge.operators import keyed_logit
 from tidegauge.session import durable
 
 EDGE_EPS = 1e-12
@@ -114,55 +112,69 @@ def apply_sigmoid(scores: DataFrame, coef: DataFrame, keys: list[str], name: str
     return scores.join(coef, keys, "left").withColumn(name, F.coalesce(fitted, clip("prob", 0.01, 0.99))).drop("slope", "intercept", "converged")
 
 
-def isotonic(train: DataFrame, target: DataFrame, name: str = "calibrated") -> DataFrame:
-    """Monotone map fitted on distinct scores with their counts, clipped to [0.01, 0.99]."""
-    cells = _cells(train, []).select(F.col("prob"), (F.col("tp") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="prob", labelCol="label", weightCol="weight", predictionCol="_iso").fit(cells)
-    return model.transform(target).withColumn(name, clip("_iso", 0.01, 0.99)).drop("_iso")
+def _keyed(keys: list[str], *frames: DataFrame) -> tuple[list[str], list[DataFrame]]:
+    """Fits without a key get one for all rows."""
+    return (list(keys), list(frames)) if keys else (["_all"], [f.withColumn("_all", F.lit(0)) for f in frames])
 
 
-def beta(train: DataFrame, target: DataFrame, name: str = "calibrated", eps: float = LOGIT_EPS) -> DataFrame:
-    """Logistic on ln p and -ln(1 - p); a negative coefficient is dropped and the rest refitted."""
+def isotonic(train: DataFrame, target: DataFrame, name: str = "calibrated", keys: list[str] = ()) -> DataFrame:
+    """Monotone map of each key, fitted on distinct scores with their counts, clipped to [0.01, 0.99]."""
+    keys, (train, target) = _keyed(keys, train, target)
+    return monotone.apply(target, monotone.blocks(train, keys), keys, name).drop("_all")
+
+
+def beta(train: DataFrame, target: DataFrame, name: str = "calibrated", eps: float = LOGIT_EPS, keys: list[str] = ()) -> DataFrame:
+    """Logistic of each key on ln p and -ln(1 - p); a negative coefficient is dropped and the other one fitted alone.
+
+    The three fits (both terms, one of them) are one keyed fit. Scores of one-class keys are clipped only.
+    """
+    keys, (train, target) = _keyed(keys, train, target)
+
     def terms(df):
         q = clip("prob", eps, 1 - eps)
         return df.withColumns({"_lp": F.ln(q), "_lq": -F.ln(1 - q)})
 
-    data = terms(_cells(train, [])).select("_lp", "_lq", F.inline(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("tp").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), F.col("fp").cast("double").alias("weight"))))).where("weight > 0")
-    columns = ["_lp", "_lq"]
-    while True:
-        assemble = VectorAssembler(inputCols=columns, outputCol="_f")
-        model = LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", probabilityCol="_pv", rawPredictionCol="_rv", predictionCol="_cv").fit(assemble.transform(data))
-        negative = [c for c, v in zip(columns, model.coefficients) if v < 0]
-        if not negative or len(columns) == 1:
-            break
-        columns = [c for c in columns if c != negative[0]]
-    scored = model.transform(assemble.transform(terms(target)))
-    return scored.withColumn(name, clip(vector_to_array("_pv")[1], 0.0, 1.0)).drop("_lp", "_lq", "_f", "_pv", "_rv", "_cv")
+    count = lambda c: F.col(c).cast("double").alias("_weight")
+    cells = terms(_cells(train, keys)).select(*keys, "_lp", "_lq", F.inline(F.array(
+        F.struct(F.lit(1.0).alias("_label"), count("tp")), F.struct(F.lit(0.0).alias("_label"), count("fp"))))).where("_weight > 0")
+    uses = F.array(*[F.struct(F.lit(v).alias("_use"), F.lit(a).alias("_a"), F.lit(b).alias("_b")) for v, a, b in (("both", 1.0, 1.0), ("lp", 1.0, 0.0), ("lq", 0.0, 1.0))])
+    each = cells.select("*", F.inline(uses)).withColumns({"_lp": F.col("_lp") * F.col("_a"), "_lq": F.col("_lq") * F.col("_b")})
+    fits = keyed_logit.fit(each, [*keys, "_use"], ["_lp", "_lq"], y="_label", weight="_weight", l2=0.0, most_steps=60)
+    of = lambda use: F.max(F.when(F.col("_use") == use, F.col("coef")))
+    wide = fits.groupBy(*keys).agg(of("both").alias("_both"), of("lp").alias("_p"), of("lq").alias("_q"))
+    chosen = F.when(F.col("_both")[1] < 0, F.col("_q")).when(F.col("_both")[2] < 0, F.col("_p")).otherwise(F.col("_both"))
+    scored = keyed_logit.score(terms(target), wide.select(*keys, chosen.alias("coef")), keys, ["_lp", "_lq"], "_beta")
+    return scored.withColumn(name, F.coalesce(clip("_beta", 0.0, 1.0), clip("prob", 0.01, 0.99))).drop("_beta", "_lp", "_lq", "_all")
 
 
-CALIBRATORS = {"isotonic": isotonic, "beta": beta,
-               "sigmoid": lambda train, target, name="calibrated": apply_sigmoid(target.withColumn("_k", F.lit(1)), slope_intercept(train.withColumn("_k", F.lit(1)), ["_k"]), ["_k"], name).drop("_k")}
+def sigmoid_map(train: DataFrame, target: DataFrame, name: str = "calibrated", keys: list[str] = ()) -> DataFrame:
+    keys, (train, target) = _keyed(keys, train, target)
+    return apply_sigmoid(target, slope_intercept(train, keys), keys, name).drop("_all")
 
 
-def compare_calibrators(rows: DataFrame, share: float = 0.2, minimum: int = 20, methods=("isotonic", "sigmoid", "beta")) -> DataFrame:
-    """Hold out the last part of the pooled out-of-fold rows; ECE per method, lowest wins.
+CALIBRATORS = {"isotonic": isotonic, "beta": beta, "sigmoid": sigmoid_map}
 
-    ``rows`` carries ``position`` (1..n in time order), ``n``, ``prob`` and ``y``.
-    """
-    held = F.least(F.greatest(F.round(F.col("n") * share), F.lit(minimum)), F.greatest(F.col("n") - minimum, F.lit(1)))
-    split = rows.persist().withColumn("_hold", F.col("position") > F.col("n") - held)
-    train, test = split.where(~F.col("_hold")), split.where("_hold")
+
+def method_errors(train: DataFrame, test: DataFrame, keys: list[str], methods=("isotonic", "sigmoid", "beta")) -> DataFrame:
+    """(keys, method, ece, n_samples): every calibrator fitted per key on ``train``, its error on ``test``."""
     parts = [
-        CALIBRATORS[m](train, test).select(F.lit(m).alias("method"), "y", F.col("calibrated").alias("prob")) for m in methods
-    ]
+        CALIBRATORS[m](train, test, keys=keys).select(*keys, F.lit(m).alias("method"), "y", F.round("calibrated", DIGITS).alias("prob")) for m in methods]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    ece = calibration_error(union, ["method"])
-    best = Window.partitionBy(F.lit("pool")).orderBy(F.col("ece"), "method")
-    return ece.withColumn("is_winner", F.row_number().over(best) == 1)
+    return calibration_error(union, [*keys, "method"])
+
+
+def compare_calibrators(rows: DataFrame, keys: list[str], share: float = 0.2, minimum: int = 20, methods=("isotonic", "sigmoid", "beta")) -> DataFrame:
+    """Hold out the last part of each key's out-of-fold rows; ECE per method, lowest wins.
+
+    ``rows`` carries ``position`` (1..n in time order), ``n``, ``prob`` and ``y``.
+    """
+    held = F.least(F.greatest(F.round(F.col("n") * share), F.lit(minimum)), F.greatest(F.col("n") - minimum, F.lit(1)))
+    split = durable(rows.withColumn("_hold", F.col("position") > F.col("n") - held))
+    ece = method_errors(split.where(~F.col("_hold")), split.where("_hold"), keys, methods)
+    best = ece.groupBy(*keys).agg(F.min_by("method", F.struct(F.round("ece", DIGITS), "method")).alias("_best"))
+    return ece.join(best, keys).withColumn("is_winner", F.col("method") == F.col("_best")).drop("_best")
 
 
 def deployed_method(table: DataFrame, keys: list[str], preferred: str = "sigmoid") -> DataFrame:

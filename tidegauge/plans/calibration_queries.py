@@ -98,20 +98,29 @@ def pooled(t):
     return labelled(t).select("entity_id", "period_end", F.col("ensemble").alias("prob"), "y")
 
 
-@query("c06_isotonic_calibration")
+# Monotone maps by the min-max formula over distinct scores: the largest, over beginnings up to a score, of the least mean of the
+# stretches that reach it.
+B.add("iso_cells", """SELECT *, SUM(n) OVER w AS cn, SUM(t) OVER w AS ct FROM (SELECT run_id, model, prob, CAST(COUNT(*) AS DOUBLE) AS n, SUM(y) AS t FROM scores GROUP BY 1, 2, 3)
+ WINDOW w AS (PARTITION BY run_id, model ORDER BY prob)""")
+B.add("iso", """SELECT run_id, model, prob, GREATEST(0.01, LEAST(0.99, MAX(least_mean))) AS calibrated FROM (
+ SELECT a.run_id, a.model, b.prob, MIN((b.ct - a.ct + a.t) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.run_id, a.model, a.prob ORDER BY b.prob DESC) AS least_mean
+ FROM iso_cells a JOIN iso_cells b ON a.run_id = b.run_id AND a.model = b.model AND b.prob >= a.prob) GROUP BY 1, 2, 3""")
+
+
+@query("c06_isotonic_calibration", sql="SELECT run_id, model, prob, CAST(n AS BIGINT) AS n, ROUND(calibrated, 6) AS calibrated FROM iso JOIN iso_cells USING (run_id, model, prob)")
 def c06(t):
-    rows = pooled(t)
-    return C.isotonic(rows, rows).select("entity_id", "period_end", "y", "prob", "calibrated")
+    cells = t.scores.groupBy(*RM, "prob").agg(F.count(F.lit(1)).alias("n"))
+    return C.isotonic(t.scores, cells, keys=RM).select(*RM, "prob", "n", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("c07_beta_calibration")
 def c07(t):
     rows = pooled(t)
-    return C.beta(rows, rows).select("entity_id", "period_end", "y", "prob", "calibrated")
+    return C.beta(rows, rows, keys=["entity_id"]).select("entity_id", "period_end", "y", "prob", "calibrated")
 
 
 def months_of(t):
-    """Pool position by month: the hold-out is the last fifth of the calendar, every entity included."""
+    """An entity's months in order: the hold-out is the last fifth of its calendar."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("entity_id")
@@ -120,25 +129,30 @@ def months_of(t):
 
 @query("c09_calibrator_comparison")
 def c09(t):
-    return C.compare_calibrators(months_of(t), minimum=12)
+    return C.compare_calibrators(months_of(t), ["entity_id"], minimum=12)
 
 
-B.add("method_ece", """SELECT run_id, CASE model WHEN 'm1' THEN 'sigmoid' WHEN 'm2' THEN 'isotonic' ELSE 'beta' END AS method, ece FROM score_ece WHERE model <> 'm4'""")
+# Both calibrators of every run and model with the error that is left.
+B.add("sigmoid_scores", f"""SELECT run_id, model, y, ROUND(COALESCE(1 / (1 + EXP(-(a * LN(q / (1 - q)) + b))), GREATEST(0.01, LEAST(0.99, prob))), 9) AS prob
+ FROM (SELECT *, GREATEST(1e-6, LEAST(1 - 1e-6, prob)) AS q FROM scores) LEFT JOIN {SLOPE} USING (run_id, model)""")
+B.add("isotonic_scores", "SELECT run_id, model, y, ROUND(calibrated, 9) AS prob FROM scores JOIN iso USING (run_id, model, prob)")
+B.add("sigmoid_ece", ece_sql("sigmoid_scores", "run_id, model"))
+B.add("isotonic_ece", ece_sql("isotonic_scores", "run_id, model"))
+B.add("method_ece", "SELECT run_id, model, 'sigmoid' AS method, ece FROM sigmoid_ece UNION ALL SELECT run_id, model, 'isotonic', ece FROM isotonic_ece")
 
 
 def method_ece(t):
-    name = F.when(F.col("model") == "m1", "sigmoid").when(F.col("model") == "m2", "isotonic").otherwise("beta")
-    return C.calibration_error(t.scores, RM).where("model <> 'm4'").select("run_id", name.alias("method"), "ece")
+    return C.method_errors(t.scores, t.scores, RM, ("sigmoid", "isotonic")).select(*RM, "method", F.round("ece", 9).alias("ece"))
 
 
-B.add("deployed", """SELECT run_id, winner, CASE WHEN p IS NULL OR (p > 0 AND w < 0.9 * p) THEN winner ELSE 'sigmoid' END AS deployed, w, p FROM (
- SELECT run_id, arg_min(method, ece) AS winner, MIN(ece) AS w, MAX(ece) FILTER (method = 'sigmoid') AS p FROM method_ece GROUP BY 1)""")
+B.add("deployed", """SELECT run_id, model, winner, CASE WHEN p IS NULL OR (p > 0 AND w < 0.9 * p) THEN winner ELSE 'sigmoid' END AS deployed, w, p FROM (
+ SELECT run_id, model, FIRST(method ORDER BY ROUND(ece, 9), method) AS winner, MIN(ROUND(ece, 9)) AS w, MAX(ROUND(ece, 9)) FILTER (method = 'sigmoid') AS p FROM method_ece GROUP BY 1, 2)""")
 
 
-@query("c10_deployment_rule", sql="SELECT run_id, winner, deployed, ROUND(w, 6) AS winner_ece, ROUND(p, 6) AS preferred_ece FROM deployed")
+@query("c10_deployment_rule", sql="SELECT run_id, model, winner, deployed, ROUND(w, 6) AS winner_ece, ROUND(p, 6) AS preferred_ece FROM deployed")
 def c10(t):
-    df = C.deployed_method(method_ece(t), ["run_id"])
-    return df.select("run_id", "winner", "deployed", *r6(df, "winner_ece", "preferred_ece"))
+    df = C.deployed_method(method_ece(t), RM)
+    return df.select(*RM, "winner", "deployed", *r6(df, "winner_ece", "preferred_ece"))
 
 
 def _cal(p):
@@ -163,10 +177,10 @@ def c12(t):
                      *r6(df, "reliability", "resolution", "uncertainty", "brier_total"), F.size("bins").cast("bigint").alias("n_bins"))
 
 
-@query("c13_winner_vs_deployed", sql="SELECT run_id, winner, deployed, winner = deployed AS agrees FROM deployed")
+@query("c13_winner_vs_deployed", sql="SELECT run_id, model, winner, deployed, winner = deployed AS agrees FROM deployed")
 def c13(t):
-    df = C.deployed_method(method_ece(t), ["run_id"])
-    return df.select("run_id", "winner", "deployed", (F.col("winner") == F.col("deployed")).alias("agrees"))
+    df = C.deployed_method(method_ece(t), RM)
+    return df.select(*RM, "winner", "deployed", (F.col("winner") == F.col("deployed")).alias("agrees"))
 
 
 # ---- uncertainty ----------------------------------------------------------------
