@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import windows as W
+from tidegauge.operators import keyed_lasso
 from tidegauge.operators.labels import class_weights
 from tidegauge.session import durable
 from tidegauge.sources import catalog
@@ -71,15 +71,6 @@ def forest_importance(rows: DataFrame, names: list[str], trees: int = 150, depth
     return _importance_rows(rows.sparkSession, names, model.featureImportances.toArray(), "forest")
 
 
-def sparse_logit_importance(rows: DataFrame, names: list[str], c: float = 0.08, max_iter: int = 200) -> DataFrame:
-    weighted = class_weights(rows.withColumn("_k", F.lit(1)), ["_k"])
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="z").fit(weighted).transform(weighted).persist()
-    n = scaled.count()
-    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=max_iter).fit(scaled)
-    scaled.unpersist()
-    return _importance_rows(rows.sparkSession, names, np.abs(model.coefficients.toArray()), "sparse_logit")
-
-
 def recent_half(rows: DataFrame, limit: int = 500, minimum: int = 120) -> DataFrame:
     """The later part of each entity's last ``limit`` labelled rows."""
     w = Window.partitionBy("entity_id")
@@ -87,8 +78,8 @@ def recent_half(rows: DataFrame, limit: int = 500, minimum: int = 120) -> DataFr
     return df.where(F.col("_r") <= F.least(F.col("_n"), F.greatest(F.lit(minimum), F.floor(F.col("_n") / 2)))).drop("_r", "_n")
 
 
-def model_rank_scores(rows: DataFrame, names: list[str], max_features: int, kinds=("forest", "sparse_logit")) -> DataFrame:
-    """Rank scores on all rows (weight 1) and on the recent half (weight 0.75); thin or one-class windows add nothing."""
+def model_rank_scores(rows: DataFrame, names: list[str], max_features: int, kinds=("forest",)) -> DataFrame:
+    """Rank scores of the forest on all rows (weight 1) and on the recent half (weight 0.75); thin or one-class windows add nothing."""
     rows = durable(rows)
     parts = []
     for weight, window in ((1.0, rows), (0.75, recent_half(rows))):
@@ -96,8 +87,6 @@ def model_rank_scores(rows: DataFrame, names: list[str], max_features: int, kind
             continue
         if "forest" in kinds:
             parts.append(rank_scores(forest_importance(window, names), 1.5, weight, 2 * max_features).withColumn("window_weight", F.lit(weight)))
-        if "sparse_logit" in kinds:
-            parts.append(rank_scores(sparse_logit_importance(window, names), 2.0, weight, 2 * max_features, positive=True).withColumn("window_weight", F.lit(weight)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -157,11 +146,49 @@ def drift_penalty(scores: DataFrame, drift: DataFrame, keys: list[str], strength
 # ---- redundancy --------------------------------------------------------------------
 
 
-def correlation_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Correlation of the candidates (a few hundred names at most), one row per pair."""
-    matrix = np.abs(Correlation.corr(rows, "features").head()[0].toArray())
-    pairs = [(a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
-    return catalog.dimension(rows.sparkSession, pairs, "feature STRING, other STRING, abs_corr DOUBLE")
+def carried(features: DataFrame, pool: DataFrame) -> DataFrame:
+    """(entity_id, feature, rank, period_end, value): the pool's values with gaps carried forward."""
+    w = Window.partitionBy("entity_id", "feature").orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = features.join(pool.select("entity_id", "feature", "rank"), ["entity_id", "feature"])
+    return rows.select("entity_id", "feature", "rank", "period_end", F.last("value", ignorenulls=True).over(w).alias("value"))
+
+
+def pool_correlation(features: DataFrame, pool: DataFrame) -> DataFrame:
+    """(entity_id, feature, other, abs_corr, n) for every pair of an entity's candidates, over months in which both have a value.
+
+    Candidates meet by entity and month, at most the pool of one entity at a time, and pairs are added up before they are shuffled.
+    """
+    rows = durable(carried(features, pool).where("value is not null"))
+    left = rows.select("entity_id", "period_end", "feature", F.col("value").alias("_a"))
+    right = rows.select("entity_id", "period_end", F.col("feature").alias("other"), F.col("value").alias("_b"))
+    spread = (F.stddev_pop("_a") > 1e-9) & (F.stddev_pop("_b") > 1e-9)
+    pairs = left.join(right, ["entity_id", "period_end"]).where("feature < other")
+    return pairs.groupBy("entity_id", "feature", "other").agg(F.when(spread, F.abs(F.corr("_a", "_b"))).alias("abs_corr"), F.count(F.lit(1)).alias("n"))
+
+
+def pool_vectors(features: DataFrame, labels: DataFrame, pool: DataFrame, width: int) -> DataFrame:
+    """(entity_id, period_end, x, y): labelled rows with an entity's candidates in the order of their rank, gaps 0."""
+    packed = carried(features, pool).groupBy("entity_id", "period_end").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m"))
+    x = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda r: F.coalesce(F.col("m")[r], F.lit(0.0)))
+    return packed.select("entity_id", "period_end", x.alias("x")).join(labels.select("entity_id", "period_end", "y"), ["entity_id", "period_end"]).where("y is not null")
+
+
+def sparse_rank_scores(features: DataFrame, labels: DataFrame, pool: DataFrame, max_features: int, width: int, C: float = 0.08, minimum: int = 60) -> DataFrame:
+    """Rank scores of the L1 logistic of every entity on its own candidates, on all rows (weight 1) and on the later half (weight 0.75).
+
+    All entities and windows are fitted in the same jobs. Thin or one-class windows add nothing.
+    """
+    keys = ["entity_id", "window_weight"]
+    rows = durable(pool_vectors(features, labels, pool, width))
+    both = rows.withColumn("window_weight", F.lit(1.0)).unionByName(recent_half(rows).withColumn("window_weight", F.lit(0.75)))
+    enough = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= minimum).select(*keys)
+    scaled = keyed_lasso.standardised(class_weights(both.join(enough, keys), keys), keys, width)
+    fitted = keyed_lasso.fit(scaled, keys, width, C=C, weight="weight", most_steps=100)
+    found = fitted.select(*keys, "converged", F.posexplode("coef").alias("rank", "_b")).where("rank > 0 and abs(_b) > 1e-6")
+    named = found.join(pool.select("entity_id", "rank", "feature"), ["entity_id", "rank"]).withColumn("importance", F.abs("_b")).drop("rank", "_b")
+    order = Window.partitionBy(*keys).orderBy(F.round("importance", 9).desc(), "feature")
+    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * max_features)
+    return ranked.withColumn("score", F.col("window_weight") * 2.0 / F.col("rank"))
 
 
 def greedy_select(names: list[str], corr: np.ndarray, max_features: int, severe: set[str] = frozenset(), required: list[str] = (), available: set[str] = frozenset()) -> list[str]:

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tidegauge.operators import backtest as K
 from tidegauge.operators import calibration as C
 from tidegauge.operators import features as FX
-from tidegauge.operators import keyed_logit
+from tidegauge.operators import keyed_lasso, keyed_logit
 from tidegauge.operators import labels as L
 from tidegauge.operators import models as M
 from tidegauge.operators.align import pivot_wide
 from tidegauge.plans import oracle_base as B
+from tidegauge.plans.backtest_queries import Replay
 from tidegauge.plans.composite_queries import labelled
 from tidegauge.plans.metric_queries import r6
 from tidegauge.plans.registry import query
 from tidegauge.plans.serving_queries import ablation_frame
+from tidegauge.session import durable
 from tidegauge.sources import catalog
 
 IDS = ["entity_id", "period_end"]
@@ -54,7 +56,17 @@ def _member(name, **params):
     return run
 
 
-m03 = query("m03_sparse_logit")(_member("logit"))
+@query("m03_sparse_logit")
+def m03(t):
+    """The sparse logit on the whole feature frame, all expanding folds in the same jobs."""
+    frame = Replay(t, [], [])
+    rows = durable(L.time_folds(frame.base.where("y is not null")))
+    width = len(frame.names)
+    train = L.class_weights(rows.where("role = 'train'"), ["fold"])
+    coef = keyed_lasso.fit(train, ["fold"], width, C=0.1, weight="weight")
+    return keyed_lasso.score(rows.where("role = 'test'"), coef, ["fold"]).select("fold", *IDS, "y", "prob")
+
+
 m04 = query("m04_forest")(_member("forest"))
 m05 = query("m05_boosted_trees")(_member("boost", maxIter=30))
 

@@ -12,6 +12,7 @@ from tidegauge.plans.calibration_queries import brier_sql, ece_sql, newton_sql,
 from tidegauge.plans.feature_queries import BLOCK, LAYER
 from tidegauge.plans.metric_queries import r6
 from tidegauge.plans.registry import query
+from tidegauge.session import durable
 from tidegauge.sources import catalog
 
 MAX = 10
@@ -78,10 +79,15 @@ def k04(t):
     return K.model_rank_scores(rows, names, MAX, kinds=("forest",))
 
 
+def sparse_scores(t, features, pool):
+    return K.sparse_rank_scores(features, labels(t), pool, MAX, POOL)
+
+
 @query("k05_sparse_logit_rank_scores")
 def k05(t):
-    rows, names = matrix(t)
-    return K.model_rank_scores(rows, names, MAX, kinds=("sparse_logit",))
+    """Every entity on its own candidate pool."""
+    features = pool_features(t)
+    return sparse_scores(t, features, durable(entity_pool(t, features)))
 
 
 def psi_sql(recent: int, reference: int, smooth: str) -> str:
@@ -126,20 +132,37 @@ def k08(t):
     return penalised(t).select(*EF, F.round("score", 6).alias("score"), "severe", "prunable")
 
 
-@query("k09_candidate_correlation")
+B.add("pool_carried", """SELECT p.entity_id, p.feature, period_end, LAST_VALUE(value IGNORE NULLS) OVER (PARTITION BY p.entity_id, p.feature ORDER BY period_end) AS value
+ FROM pool p JOIN entity_pool e ON p.entity_id = e.entity_id AND p.feature = e.feature""")
+
+
+@query("k09_candidate_correlation", sql="""SELECT a.entity_id, a.feature, b.feature AS other, COUNT(*) AS n,
+ ROUND(CASE WHEN STDDEV_POP(a.value) > 1e-9 AND STDDEV_POP(b.value) > 1e-9 THEN ABS(CORR(a.value, b.value)) END, 6) AS abs_corr
+ FROM pool_carried a JOIN pool_carried b ON a.entity_id = b.entity_id AND a.period_end = b.period_end AND a.feature < b.feature
+ WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3""")
 def k09(t):
-    rows, names = matrix(t)
-    return K.correlation_matrix(rows, names)
+    features = pool_features(t)
+    return K.pool_correlation(features, entity_pool(t, features)).withColumn("abs_corr", F.round("abs_corr", 6))
+
+
+def assembled(t, features):
+    """Correlation rank scores, the sparse fits' rank scores, and the penalty for drift."""
+    pool = durable(entity_pool(t, features))
+    fitted = sparse_scores(t, features, pool).groupBy(*EF).agg(F.sum("score").alias("_s"))
+    ranked = pool.join(fitted, EF, "left").withColumn("score", F.col("score") + F.coalesce("_s", F.lit(0.0))).drop("_s")
+    return K.drift_penalty(ranked, K.psi(features, ["entity_id"], **K.PSI_SELECTOR), ["entity_id"], strength=0.05, severe=12.0)
 
 
 @query("k10_greedy_pruning")
 def k10(t):
-    return K.select_features(penalised(t), pool_features(t), MAX)
+    features = pool_features(t)
+    return K.select_features(assembled(t, features), features, MAX)
 
 
 @query("k11_must_include")
 def k11(t):
-    return K.select_features(penalised(t), pool_features(t), MAX, list(catalog.MUST_INCLUDE))
+    features = pool_features(t)
+    return K.select_features(assembled(t, features), features, MAX, list(catalog.MUST_INCLUDE))
 
 
 @query("k12_binned_information", sql="""WITH c AS (SELECT entity_id, feature, bin, y, CAST(COUNT(*) AS DOUBLE) AS c FROM (
