@@ -107,10 +107,13 @@ def window_months(windows: DataFrame) -> DataFrame:
 def event_results(scores: DataFrame, windows: DataFrame, keys: list[str], fixed: float, threshold: str = "threshold", trajectory: bool = False) -> DataFrame:
     """Per (key, event): peak, first crossing and lead at the run's own and at a fixed threshold, AUC, Brier.
 
-    ``scores`` carries keys, entity_id, period_end, prob, y and the own threshold, and the event where a score belongs to one.
-    Windows meet scores by month.
+    ``scores`` carries keys, entity_id, period_end, prob, y and the own threshold. Scores that belong to one event carry it and
+    meet its window by month; others meet the windows of their entity, with the window as a filter.
     """
-    test = scores.join(window_months(windows), ["entity_id", "period_end", *(["event"] if "event" in scores.columns else [])])
+    if "event" in scores.columns:
+        test = scores.join(window_months(windows), ["entity_id", "period_end", "event"])
+    else:
+        test = scores.join(windows, "entity_id").where((F.col("period_end") > F.col("train_end")) & (F.col("period_end") <= F.col("end_month")))
     group = [*keys, "entity_id", "event"]
     first = lambda cond: W.first_date_where(cond)
     own, at_fixed, positive = F.col("prob") >= F.col(threshold), F.col("prob") >= fixed, F.col("y") == 1.0
