@@ -73,3 +73,18 @@ def test_taken_rows_hold_the_planned_words(docs):
         assert r["n_chars"] == len(r["text"]) and set(WORD.findall(r["text"])) <= set(WORD.findall(table[r["doc_id"]][1]))
     assert words == Counter({d: n for d, n in plan.items() if n})
     assert mixing.take(docs([])).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(docs):
+    """Rows that share doc_id, source and size each get one of their plans, whatever the other columns are called."""
+    table = [(7, f"a{i % 3} b c", "en", "hot") for i in range(40)] + [(None, "x y", "en", None)] * 9 + [(i, "w " * (5 + i), "en", "s") for i in range(20, 50)]
+    frame = docs(table).selectExpr("*", *[f"'{n}' AS {n}" for n in ("passes", "from1", "to1", "from2", "to2", "_copy", "_d", "_row", "_plan", "taken", "_again_d")])
+    plan = Counter()
+    for r in mixing.plan(frame).collect():
+        plan[r["doc_id"]] += r["taken"]
+    got, mix = Counter(), mixing.take(frame)
+    assert mix.dtypes == frame.dtypes
+    for r in mix.collect():
+        assert r["passes"] == "passes" and r["_plan"] == "_plan"
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert got == Counter({d: n for d, n in plan.items() if n})

@@ -136,48 +136,61 @@ def take(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of ``docs``: whole documents, repeated as planned, and the parts at the ends of a run.
 
     A part keeps its document's other columns; ``n_chars`` is counted anew. Rows that share doc_id, source and size are
-    planned alike, so each of them is matched with one of their plans.
+    planned alike, so each of them is matched with one of their plans; only those are numbered. A text is shuffled once.
+    Columns may have any names.
     """
-    names = docs.columns
-    key = ["doc_id", "source", "_size"]
-    turn = Window.partitionBy("doc_id", "source", "_size")
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(SPARK_WORD)), F.lit(0)).cast("bigint")).where("_size > 0")
-    numbered = sized.withColumn("_copy", F.row_number().over(turn.orderBy(F.xxhash64("text"))))
-    wanted = plan(docs, **options).where("taken > 0").withColumnRenamed("size", "_size").select(*key, "passes", "from1", "to1", "from2", "to2")
-    wanted = wanted.withColumn("_copy", F.row_number().over(turn.orderBy("passes", "from1", "to1", "from2", "to2")))
-    joined = null_safe(numbered, wanted, [*key, "_copy"])
-    schema = docs.schema
+    names, schema = docs.columns, docs.schema
+    key = ["_d", "_s", "_n"]
+    size = F.coalesce(F.regexp_count("text", F.lit(SPARK_WORD)), F.lit(0)).cast("bigint")
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    keyed = docs.select(row.alias("_row"), F.col("doc_id").cast("bigint").alias("_d"), F.col("source").cast("string").alias("_s"), size.alias("_n")).where("_n > 0")
+    cuts = ("passes", "from1", "to1", "from2", "to2")
+    planned = durable(plan(docs, **options).where("size > 0").select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.struct(*cuts).alias("_plan"), (F.col("taken") > 0).alias("_taken")))
+    again = durable(planned.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*[F.col(k).alias(f"_again{k}") for k in key]))
+    wanted = planned.where("_taken").drop("_taken")
+    if again.isEmpty():
+        joined = null_safe(keyed, wanted, key)
+    else:
+        same = [F.col(k).eqNullSafe(F.col(f"_again{k}")) for k in key]
+        turn = Window.partitionBy(*key)
+        copies = keyed.join(again, same, "left_semi").withColumn("_copy", F.row_number().over(turn.orderBy(F.xxhash64("_row.text"))))
+        plans = wanted.join(again, same, "left_semi").withColumn("_copy", F.row_number().over(turn.orderBy("_plan")))
+        joined = null_safe(keyed.join(again, same, "left_anti"), wanted, key).unionByName(null_safe(copies, plans, [*key, "_copy"]).drop("_copy"))
+    types = {f.name: t for f, t in zip(schema.fields, arrow_types(schema))}
 
     def run(batches):
-        text_at = names.index("text")
-        extra = len(names)
-        # a slice leaves as up to three copies of its texts, so slices and not whole batches are held
-        for batch in slices(batches, limit=1 << 20):
-            batch = batch.select([*names, "_size", "passes", "from1", "to1", "from2", "to2"])
-            rows, texts = [], []
-            for i, text in enumerate(batch.column(text_at).to_pylist()):
-                size, passes, *cuts = (batch.column(extra + k)[i].as_py() for k in range(6))
-                rows += [i] * passes
-                texts += [text] * passes
-                marks = None
-                for a, b in (cuts[:2], cuts[2:]):
-                    if a < b:
-                        if (a, b) == (0, size):
-                            rows.append(i)
-                            texts.append(text)
-                            continue
-                        marks = marks or [m.span() for m in WORD.finditer(text)]
-                        rows.append(i)
-                        texts.append(text[marks[a][0] : marks[b - 1][1]])
-            picked = batch.select(names).take(pa.array(rows, pa.int64()))
-            columns = [picked.column(k) for k in range(extra)]
-            columns[text_at] = pa.array(texts, schema_types["text"])
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array(np.array([len(t) for t in texts], np.int64)).cast(schema_types["n_chars"])
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema_types = {f.name: t for f, t in zip(schema.fields, arrow_types(schema))}
-    return joined.mapInArrow(run, schema)
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names)
+            orders = list(zip(*[c.to_pylist() for c in batch.column(1).flatten()]))
+            start = 0
+            # a slice leaves as up to three copies of its texts, so slices and not whole batches are held
+            for part in slices([whole], limit=1 << 20):
+                yield taken(part, orders[start : start + part.num_rows], types)
+                start += part.num_rows
+
+    return joined.select("_row", "_plan").mapInArrow(run, schema)
+
+
+def taken(docs: pa.RecordBatch, orders: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """The copies and parts of some documents; an order is (passes, from1, to1, from2, to2)."""
+    names = docs.schema.names
+    rows, texts = [], []
+    for i, (text, (passes, *cuts)) in enumerate(zip(docs.column(names.index("text")).to_pylist(), orders)):
+        rows += [i] * passes
+        texts += [text] * passes
+        marks = None
+        for a, b in (cuts[:2], cuts[2:]):
+            if a < b:
+                marks = marks or [m.span() for m in WORD.finditer(text)]
+                rows.append(i)
+                texts.append(text if (a, b) == (0, len(marks)) else text[marks[a][0] : marks[b - 1][1]])
+    picked = docs.take(pa.array(rows, pa.int64()))
+    columns = list(picked.columns)
+    columns[names.index("text")] = pa.array(texts, types["text"])
+    if "n_chars" in names:
+        columns[names.index("n_chars")] = pa.array(np.array([len(t) for t in texts], np.int64)).cast(types["n_chars"])
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def arrow_types(schema):
