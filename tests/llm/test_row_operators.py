@@ -144,3 +144,16 @@ def test_quality_distances_match_plain_formula(docs):
 @pytest.mark.parametrize("name", ["op1_quality", "op2_secret_scan", "op4_token_counts", "op10_bpe"])
 def test_one_row_per_document(spark, name):
     assert QUERIES[name](spark, FOLDER).count() == len(rows(FOLDER, "documents", "doc_id"))
+
+
+def test_texts_of_unlisted_languages_are_judged_by_base_rules(docs):
+    """References of other languages do not drop a clean text."""
+    italian = ("la giornata era cominciata con una pioggia sottile che cadeva sui tetti della vecchia città mentre gli abitanti si preparavano per la festa di "
+               "primavera nel grande mercato dove ogni anno arrivano contadini pescatori musicanti dai paesi vicini portando frutta formaggi vino stoffe colorate "
+               "insieme ai loro figli giocavano piccoli gruppi presso alcune fontane antiche finché sera scese lentamente sulle colline intorno portando silenzio fresco stelle")
+    table = [(i, " ".join(x for k in range(120) for x in (f"word{i}x{k}", "the of and to a in is that it for".split()[k * (i + 3) % 10])), "en") for i in range(30)]
+    table += [(100, italian, "it"), (101, italian, None), (102, "uno due tre", "it")]
+    got = {r["doc_id"]: r for r in quality.scores(docs(table)).collect()}
+    assert got[100]["kept"] and got[101]["kept"] and not got[102]["kept"]
+    assert got[100]["word_distance"] is None and got[0]["word_distance"] is not None
+    assert {r["doc_id"] for r in quality.keep(docs(table)).collect()} >= {100, 101}

@@ -6,7 +6,8 @@ language which pass the base rules, hold few symbols and are long enough. A dist
 (``min_chars``, ``min_words``), and the limit widens for shorter texts, because a small sample strays further from its own
 source: limit + slack / sqrt(n).
 
-A language without a list of common words, or a null one, is compared with all references and takes the nearest.
+A text in a language without a list of common words, or with a null one, is judged by the base rules alone: being far from
+languages it is not written in says nothing about it.
 
 Defined results: a null or empty text has no words, fails the base rules (fewer than 10 words) and is not kept; rows repeat
 if they repeat; a null doc_id stays null; an empty table gives an empty table. If no document can serve as a reference for
@@ -165,8 +166,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, lists: CommonWords, lang: np.
     place = lists.places(word_hashes(LOWER[data], starts, stops)) if len(starts) else np.zeros(0, np.int64)
     common = np.zeros((rows, len(LANGUAGES), SLOTS), np.int64)
     lang_of_word = lang[row_of_word]
-    for k in range(len(LANGUAGES)):  # a row of a known language needs its own list only
-        own = (lang_of_word == k) | (lang_of_word < 0)
+    for k in range(len(LANGUAGES)):  # a row needs the list of its own language only
+        own = lang_of_word == k
         if own.any():
             common[:, k] = np.bincount(row_of_word[own] * SLOTS + lists.slot[k][place[own]], minlength=rows * SLOTS).reshape(rows, SLOTS)
     return Measured(n_words, sum_by_row(lead & ~BLANK[data], offsets), sum_by_row(SYMBOL[data], offsets), n_dup_lines, n_repeat, sum_by_row(lead, offsets), classes, common)
@@ -221,21 +222,14 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np
 
 
 def distances(m: Measured, lang: np.ndarray, refs) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each row to its language, or to the nearest one; NaN without a reference."""
-    rows = len(lang)
-    by_class, by_word = np.full((len(LANGUAGES), rows), np.nan), np.full((len(LANGUAGES), rows), np.nan)
+    """Distance of each row to its own language; NaN without a reference."""
+    by_class, by_word = np.full(len(lang), np.nan), np.full(len(lang), np.nan)
     for k, name in enumerate(LANGUAGES):
-        if name in refs:
-            by_class[k] = divergence(shares(m.classes), refs[name][0])
-            by_word[k] = divergence(shares(m.common[:, k]), refs[name][1])
-
-    def pick(values):
-        nearest = np.nanmin(np.where(np.isnan(values), np.inf, values), axis=0)
-        own = values[np.maximum(lang, 0), np.arange(rows)]
-        out = np.where(lang >= 0, own, nearest)
-        return np.where(np.isinf(out), np.nan, out)
-
-    return pick(by_class), pick(by_word)
+        own = lang == k
+        if name in refs and own.any():
+            by_class[own] = divergence(shares(m.classes[own]), refs[name][0])
+            by_word[own] = divergence(shares(m.common[own, k]), refs[name][1])
+    return by_class, by_word
 
 
 def judge(m: Measured, lang: np.ndarray, refs, limits: Limits) -> tuple[np.ndarray, ...]:
