@@ -88,3 +88,15 @@ def test_repeated_rows_and_clashing_names(docs):
         assert r["passes"] == "passes" and r["_plan"] == "_plan"
         got[r["doc_id"]] += len(WORD.findall(r["text"]))
     assert got == Counter({d: n for d, n in plan.items() if n})
+
+
+def test_a_small_source_leaves_the_blocks_of_others_alone(docs):
+    """Large sources get whole blocks of 64 words beside a source of a few words, and every source comes near its target."""
+    table = [(i, "w " * 100, "en", "ab"[i % 2]) for i in range(600)] + [(1000, "one two three", "en", "c"), (1001, "x " * 90, "en", None)]
+    out = mixing.plan(docs(table)).collect()
+    check(out, [(d, t, s) for d, t, _, s in table])
+    taken = Counter()
+    for r in out:
+        taken["c" if r["doc_id"] == 1000 else "null" if r["doc_id"] == 1001 else "ab"[r["doc_id"] % 2]] += r["taken"]
+    assert taken["a"] % 64 == 0 and taken["b"] % 64 == 0
+    assert taken["c"] == 9  # three times its size, to the word

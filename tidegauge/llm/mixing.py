@@ -3,7 +3,8 @@
 1. Sizes (words) are summed by source. Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ...; a target is the
    weight's share of all words, but at most ``most`` times the source's size, the excess being shared again by weight.
 2. All targets together make a number of equal blocks. A block goes to the source with the highest quotient
-   target / (2 * seats + 1), so every source has an integer number of blocks.
+   target / (2 * seats + 1), so every source has an integer number of blocks. A source whose target is below 64 blocks, where
+   rounding to blocks would matter, shares single words with its like in an apportionment of their own.
 3. A source is dealt into shards of about ``shard_docs`` documents by a seeded hash, and its blocks go to its shards by the same
    rule, votes being the shard's words: an integer quota per shard.
 4. In a shard, documents stand in seeded order. The quota is filled with whole passes over the shard, and the rest with a
@@ -95,13 +96,13 @@ def plan(docs: DataFrame, seed: int = 17, block_tokens: int = 64, shard_docs: in
         F.coalesce(F.regexp_count("text", F.lit(SPARK_WORD)), F.lit(0)).cast("bigint").alias("size")))
     sources = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")))
     aimed = durable(targets(sources.select("source", "source_size"), most))
-    # a block is small beside the smallest target, so that rounding to blocks does not matter
-    smallest, every = aimed.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target")).first()
-    block = max(1, min(block_tokens, int((smallest or 0.0) // 64)))
-    seats = round((every or 0.0) / block)
-    quotas = apportion(aimed.select("source", "target"), F.lit(seats), [], [F.col("source").asc_nulls_last()], "target", "quota")
-    known = null_safe(null_safe(sources, aimed.select("source", "target"), ["source"]), quotas.select("source", "quota"), ["source"], "left")
-    known = durable(known.select("source", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), F.ceil(F.col("_docs") / shard_docs).alias("_shards")))
+    # every source keeps its block, whatever other sources there are
+    aimed = aimed.withColumn("block", F.when(F.col("target") < 64 * block_tokens, 1).otherwise(block_tokens).cast("bigint"))
+    words_of = aimed.groupBy("block").agg(F.round(F.sum("target") / F.first("block")).cast("bigint").alias("_seats"))
+    votes = null_safe(aimed.select("source", "target", "block"), words_of, ["block"])
+    quotas = apportion(votes, F.col("_seats"), ["block"], [F.col("source").asc_nulls_last()], "target", "quota")
+    known = null_safe(null_safe(sources, aimed.select("source", "target", "block"), ["source"]), quotas.select("source", "quota"), ["source"], "left")
+    known = durable(known.select("source", "source_size", "target", "block", F.coalesce("quota", F.lit(0)).alias("quota"), F.ceil(F.col("_docs") / shard_docs).alias("_shards")))
 
     mixed = F.xxhash64("doc_id", "size", F.lit(seed))
     dealt = null_safe(sized, known.select("source", "_shards"), ["source"]).select(
@@ -110,7 +111,7 @@ def plan(docs: DataFrame, seed: int = 17, block_tokens: int = 64, shard_docs: in
     shards = durable(null_safe(shards, known, ["source"]))
     votes = shards.select("source", "shard", "quota", F.col("shard_size").cast("double").alias("votes"))
     shard_quotas = apportion(votes, F.col("quota"), ["source"], [F.col("shard")], "votes", "shard_quota").select("source", "shard", "shard_quota")
-    S = F.col("shard_size")
+    S, block = F.col("shard_size"), F.col("block")
     words = F.least(F.coalesce(F.col("shard_quota") * block, F.lit(0)), most * S)
     filled = durable(null_safe(shards, shard_quotas, ["source", "shard"]).select(
         "source", "shard", "shard_size", "source_size", "target",
