@@ -62,3 +62,12 @@ def test_bounds_hold():
     exact = (a.raw @ b.raw.T) / a.norm[:, None] / b.norm
     close = (a.codes.astype(float) @ b.codes.astype(float).T) * a.scale[:, None] * b.scale
     assert (np.abs(exact - close) <= a.error[:, None] + b.error * (1 + a.error[:, None])).all()
+
+
+def test_huge_and_tiny_components(spark):
+    """Squares that over- or underflow do not put a vector out; powers of two do not change a score."""
+    table = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 0.0]), (3, [1e-200, 3e-200]), (4, [0.0, 5e-324]), (5, [2.0**500, 2.0**499]), (6, [2.0, 1.0]), (7, [0.0, 0.0])]
+    got = sorted(map(tuple, knn.nearest(frame(spark, table), F.col("vec_id") == 0).collect()))
+    ten, three, five = 1 / math.sqrt(1.01), 1 / math.sqrt(10), 2 / math.sqrt(5)
+    assert [g[:3] for g in got] == [(0, 1, 2), (0, 2, 1), (0, 3, 5), (0, 4, 6), (0, 5, 3)]
+    assert [g[3] for g in got] == pytest.approx([1.0, ten, five, five, three], abs=1e-12)

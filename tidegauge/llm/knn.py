@@ -12,7 +12,8 @@ The k best of each shard are merged by rank. Products of codes are summed exactl
 float64 beyond).
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component takes no part, as query or as
-candidate; vectors of another length than the query's are no candidates; rows with a null id take no part. Rows that share an id are one
+candidate; huge and tiny components are levelled by powers of two, so squares neither over- nor underflow; vectors of another
+length than the query's are no candidates; rows with a null id take no part. Rows that share an id are one
 item: it is never its own neighbour, and its best score counts. Ties go to the smaller id. A query without candidates has
 no rows; an empty table gives an empty table. Other columns are not read.
 """
@@ -48,9 +49,13 @@ class Vectors:
 
 
 def usable(raw: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore", invalid="ignore"):
-        square = (raw * raw).sum(axis=1)
-    return np.isfinite(raw).all(axis=1) & (square > 0) & np.isfinite(square)
+    return np.isfinite(raw).all(axis=1) & (raw != 0).any(axis=1)
+
+
+def levelled(raw: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to [0.5, 1): the cosine stays the same to the last bit."""
+    _, power = np.frexp(np.abs(raw).max(axis=1))
+    return np.ldexp(raw, -power[:, None])
 
 
 def blocks(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -63,7 +68,7 @@ def blocks(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         raw = lists.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)  # a null component becomes NaN
         good = usable(raw)
         if good.any():
-            out[size] = (at[good], np.ascontiguousarray(raw[good]))
+            out[size] = (at[good], levelled(raw[good]))
     return out
 
 
