@@ -36,6 +36,8 @@ from tidegauge.llm.registry import query
 from tidegauge.session import durable, new_table_path
 
 ROUNDS = 6
+#: bytes of text whose ids are stored as one row; a longer text is a row of its own
+SLICE = 1 << 17
 
 
 def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -57,25 +59,32 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, ranks: str, pattern: str, kind: str) -> DataFrame:
-    """part, start (ids before the row in its part), doc_id, n_ids, ids (compressed)."""
+    """A row per slice of texts: part, start (ids before it in its part), n_ids, doc_ids and counts of its texts, ids (compressed)."""
 
     def run(batches):
-        enc, pack, start, part = encoding(ranks, pattern), zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId()
+        enc, pack, start, part = encoding(ranks, pattern), zstandard.ZstdCompressor(level=6), 0, TaskContext.get().partitionId()
         end = enc.n_vocab
-        for batch in slices(batches):
-            starts, counts, packed = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.array([*encode_text(enc, text), end], kind)
-                starts.append(start)
-                counts.append(len(ids))
-                packed.append(pack.compress(ids.tobytes()))
-                start += len(ids)
-            rows = batch.num_rows
+        for batch in slices(batches, limit=SLICE):
+            ids = [np.array([*encode_text(enc, text), end], kind) for text in batch.column(1).to_pylist()]
+            counts = [len(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * rows, pa.int64()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                ["part", "start", "doc_id", "n_ids", "ids"])
+                [pa.array([v], t) for v, t in ((part, pa.int64()), (start, pa.int64()), (sum(counts), pa.int64()), (batch.column(0).to_pylist(), pa.list_(pa.int64())),
+                                               (counts, pa.list_(pa.int64())), (pack.compress(np.concatenate(ids).tobytes()), pa.binary()))],
+                ["part", "start", "n_ids", "doc_ids", "counts", "ids"])
+            start += sum(counts)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "part bigint, start bigint, doc_id bigint, n_ids bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
+        run, "part bigint, start bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, ids binary")
+
+
+def common_ids(stored: DataFrame, pieces: int = 64, size: int = 2048) -> bytes:
+    """The beginnings of some slices, which pieces are compressed against. They change the size of the shuffle, not the shards."""
+    unpack = zstandard.ZstdDecompressor()
+    return b"".join(unpack.decompress(r["ids"])[:size] for r in stored.select("ids").limit(pieces).collect())
+
+
+def codec(shared: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(shared, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if shared else {}
 
 
 def write_training_order(docs: DataFrame, folder: str, length: int = 1024, shard_slots: int = 4096, key: int = 2024, ranks: str = RANKS,
@@ -91,28 +100,28 @@ def write_training_order(docs: DataFrame, folder: str, length: int = 1024, shard
     n = -(-total // length)
     width = np.dtype(kind).itemsize
 
+    shared = common_ids(stored)
+
     def cut(batches):
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3, **codec(shared))
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for first, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = unpack.decompress(packed)
-                count, at = len(ids) // width, 0
-                while at < count:
-                    sequence, place = divmod(first + at, length)
-                    stop = min(count, at + length - place)
-                    out[0].append(sequence)
-                    out[1].append(place)
-                    out[2].append(doc_id)
-                    out[3].append(pack.compress(ids[at * width : stop * width]))
-                    at = stop
-            slots = permute(np.array(out[0], np.int64), n, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots // shard_slots), pa.array(slots), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
-                ["shard", "slot", "place", "doc_id", "ids"])
+            for i in range(batch.num_rows):
+                first, doc_ids, counts, packed = (c[i].as_py() for c in batch.columns)
+                ids, ends = unpack.decompress(packed), np.cumsum(counts)
+                sequences = np.arange(first // length, (first + ends[-1] - 1) // length + 1)
+                starts = np.maximum(sequences * length - first, 0)
+                stops = np.minimum((sequences + 1) * length - first, ends[-1])
+                # the texts that a piece touches
+                low, high = np.searchsorted(ends, starts, side="right"), np.searchsorted(ends, stops, side="left") + 1
+                slots = permute(sequences, n, key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slots // shard_slots), pa.array(slots), pa.array((first + starts) % length, pa.int32()),
+                     pa.array([list(dict.fromkeys(doc_ids[a:b])) for a, b in zip(low, high)], pa.list_(pa.int64())),
+                     pa.array([pack.compress(ids[a * width : b * width]) for a, b in zip(starts, stops)], pa.binary())],
+                    ["shard", "slot", "place", "doc_ids", "ids"])
 
     def write(batches):
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**codec(shared))
         store, root = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         file, name, shard, slot, parts, owners = None, None, None, None, [], []
@@ -130,7 +139,7 @@ def write_training_order(docs: DataFrame, folder: str, length: int = 1024, shard
             store.move(name, f"{root}/{shard_name(shard)}")
 
         for batch in batches:
-            for s, t, doc_id, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
+            for s, t, doc_ids, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
                 if t != slot:
                     if slot is not None:
                         slot_done()
@@ -141,7 +150,7 @@ def write_training_order(docs: DataFrame, folder: str, length: int = 1024, shard
                     shard, name = s, f"{root}/.{shard_name(s)}.{uuid.uuid4().hex}"
                     file = store.open_output_stream(name)
                 parts.append(unpack.decompress(packed))
-                owners.append(doc_id)
+                owners.extend(doc_ids)
             yield index_rows(rows)
             rows = []
         if slot is not None:
@@ -149,8 +158,8 @@ def write_training_order(docs: DataFrame, folder: str, length: int = 1024, shard
             file_done()
         yield index_rows(rows)
 
-    pieces = stored.join(firsts, "part").select((F.col("start") + F.col("_first")).alias("first"), "doc_id", "ids").mapInArrow(
-        cut, "shard bigint, slot bigint, place int, doc_id bigint, ids binary")
+    pieces = stored.join(firsts, "part").select((F.col("start") + F.col("_first")).alias("first"), "doc_ids", "counts", "ids").mapInArrow(
+        cut, "shard bigint, slot bigint, place int, doc_ids array<bigint>, ids binary")
     shards = max(1, -(-n // shard_slots))
     dealt = pieces.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("shard", "slot", "place")
     return durable(dealt.mapInArrow(write, "slot bigint, shard bigint, byte_offset bigint, n_ids int, sha256 string, doc_ids array<bigint>"))
