@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -63,12 +64,51 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch that removes the shuffle files of an execution when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def durable(df):
     """Cut lineage with a table written once to the shared folder.
 
     The result survives lost executors, and its size is known to the optimizer, which
-    then broadcasts it only while it is small.
+    then broadcasts it only while it is small. Shuffle files of the write go with its end.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, "durable")
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make):
+    """The DataFrame that ``make()`` returns as a durable table, without the durable tables written on the way to it.
+
+    They are deleted once the result is written, so nothing but the result may be read afterwards. Calls may be nested.
     """
-    path = new_table_path(df.sparkSession, "durable")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    outer = _written.get()
+    token = _written.set(paths := [])
+    try:
+        out = durable(make())
+    finally:
+        _written.reset(token)
+    *steps, kept = paths
+    for path in steps:
+        drop_table(out.sparkSession, path)
+    if outer is not None:
+        outer.append(kept)
+    return out
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``durable`` wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
