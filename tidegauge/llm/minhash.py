@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import LOWER, distinct_sorted, mix, shingles, slices, table, text_bytes, word_hashes, words
 from tidegauge.llm.components import components
 from tidegauge.llm.registry import query
-from tidegauge.session import durable
+from tidegauge.session import durable, settled
 
 ROWS = 4
 MISSED = 1e-7
@@ -211,7 +211,8 @@ def links_of(entries: DataFrame, texts: DataFrame, width: int, percent: int, wor
                 return labels
             if gained < worth * waiting:
                 last = settle(rows, texts, width, percent)
-                return durable(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last)))
+                every = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last)
+                return settled(lambda: components(every))
             centre = rows.where("label = main").groupBy("bucket").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "bucket", F.lit(turn))).alias("c"))
         near = (F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
         pairs = outside.join(centre, "bucket").where(near).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
@@ -220,7 +221,7 @@ def links_of(entries: DataFrame, texts: DataFrame, width: int, percent: int, wor
         gained = new.count()
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
-        labels = durable(components(links))
+        labels = settled(lambda: components(links))
         turn += 1
 
 
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: the rows whose document is not linked to a smaller doc_id, and one row of each doc_id."""
-    found = durable(near_duplicates(docs, width, percent).select("doc_id", "kept").where("doc_id is not null"))
+    found = settled(lambda: near_duplicates(docs, width, percent).select("doc_id", "kept").where("doc_id is not null"))
     left = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
     again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("doc_id")
     if not again.isEmpty():  # rows that repeat a doc_id

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import SPARK_WORD, WORD, running, slices, table
 from tidegauge.llm.registry import query
-from tidegauge.session import durable
+from tidegauge.session import durable, settled
 
 
 def apportion(votes: DataFrame, seats: Column, group: list[str], order: list[Column], vote: str, name: str) -> DataFrame:
@@ -146,7 +146,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     keyed = docs.select(row.alias("_row"), F.col("doc_id").cast("bigint").alias("_d"), F.col("source").cast("string").alias("_s"), size.alias("_n")).where("_n > 0")
     cuts = ("passes", "from1", "to1", "from2", "to2")
-    planned = durable(plan(docs, **options).where("size > 0").select(
+    planned = settled(lambda: plan(docs, **options).where("size > 0").select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.struct(*cuts).alias("_plan"), (F.col("taken") > 0).alias("_taken")))
     again = durable(planned.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*[F.col(k).alias(f"_again{k}") for k in key]))
     wanted = planned.where("_taken").drop("_taken")
