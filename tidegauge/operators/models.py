@@ -196,14 +196,15 @@ def fit_regimes(packed: DataFrame, k: int = 3, iterations: int = 50, tolerance:
 
     An E-step runs per entity on its own packed series; only expected counts and moments
     are summed, and one row of them reaches the driver. Falls back to two regimes when one
-    regime empties.
+    regime empties. ``converged`` says whether the likelihood settled within ``tolerance``;
+    ``steps`` are those taken.
     """
     packed = durable(packed)
     moments = packed.select(F.explode("s.x").alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d")).first()
     spread = np.linspace(1.0, -1.0, k) * (moments["d"] or 1.0)
     par = {"mean": moments["m"] + spread, "var": np.full(k, (moments["d"] or 1.0) ** 2), "start": np.full(k, 1 / k), "move": np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))}
-    last = -np.inf
-    for _ in range(iterations):
+    last, converged, step = -np.inf, False, 0
+    for step in range(1, iterations + 1):
         now = dict(par)
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,10 +235,10 @@ def fit_regimes(packed: DataFrame, k: int = 3, iterations: int = 50, tolerance:
             return fit_regimes(packed, 2, iterations, tolerance)
         mean = g[:, 1] / g[:, 0]
         par = {"mean": mean, "var": np.maximum(g[:, 2] / g[:, 0] - mean**2, 1e-6), "start": starts / starts.sum(), "move": moves / moves.sum(axis=1, keepdims=True)}
-        if abs(loglik - last) < tolerance * max(1.0, abs(loglik)):
+        if converged := bool(abs(loglik - last) < tolerance * max(1.0, abs(loglik))):
             break
         last = loglik
-    par["loglik"] = float(loglik)
+    par |= {"loglik": float(loglik), "converged": converged, "steps": step}
     par["expansion"] = int(np.argmax(par["mean"]))
     return par
 
@@ -257,5 +258,5 @@ def regime_probability(packed: DataFrame, par: dict, keys: list[str] = ["entity_
 
 
 def regime_table(spark, par: dict) -> DataFrame:
-    rows = [(i, float(par["mean"][i]), float(par["var"][i]), float(par["move"][i, i]), i == par["expansion"]) for i in np.argsort(-par["mean"])]
-    return catalog.dimension(spark, [(int(a), *r) for a, *r in rows], "regime INT, mean DOUBLE, variance DOUBLE, stay DOUBLE, is_expansion BOOLEAN")
+    rows = [(i, float(par["mean"][i]), float(par["var"][i]), float(par["move"][i, i]), bool(i == par["expansion"]), par["converged"]) for i in np.argsort(-par["mean"])]
+    return catalog.dimension(spark, [(int(a), *r) for a, *r in rows], "regime INT, mean DOUBLE, variance DOUBLE, stay DOUBLE, is_expansion BOOLEAN, converged BOOLEAN")

@@ -103,14 +103,14 @@ def m08(t):
 
 @query("m09_regime_model")
 def m09(t):
-    return M.regime_table(t.spark, M.fit_regimes(M.pack_series(aligned(t)), iterations=20))
+    return M.regime_table(t.spark, M.fit_regimes(M.pack_series(aligned(t))))
 
 
 @query("m10_regime_scores")
 def m10(t):
     rows = aligned(t)
     cut = F.lit("1999-12-31").cast("date")
-    par = M.fit_regimes(M.pack_series(rows.where(F.col("period_end") <= cut)), iterations=20)
+    par = M.fit_regimes(M.pack_series(rows.where(F.col("period_end") <= cut)))
     raw = M.regime_probability(M.pack_series(rows), par).join(t.score_wide.select(*IDS, "y"), IDS, "left")
     train = raw.where((F.col("period_end") <= cut) & F.col("y").isNotNull())
     return C.isotonic(train, raw).select(*IDS, F.col("prob").alias("raw"), F.col("calibrated").alias("prob"))
