@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 GRID = 65536
 
 
-def score_cells(scores: DataFrame, keys: list[str], prob: str = "prob", y: str = "y") -> DataFrame:
-    """Positives and negatives per distinct score."""
+def score_cells(scores: DataFrame, keys: list[str], prob: str = "prob", y: str = "y", count: str | None = None) -> DataFrame:
+    """Positives and negatives per distinct score; ``count`` names a column with the number of rows that a row stands for."""
+    n = F.col(count) if count else F.lit(1)
     return scores.where(F.col(prob).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(prob).alias("prob")).agg(
-        F.sum(F.when(F.col(y) == 1.0, 1).otherwise(0)).alias("tp"), F.sum(F.when(F.col(y) == 1.0, 0).otherwise(1)).alias("fp"))
+        F.sum(F.when(F.col(y) == 1.0, n).otherwise(0)).alias("tp"), F.sum(F.when(F.col(y) == 1.0, 0).otherwise(n)).alias("fp"))
 
 
 def cumulate(cells: DataFrame, keys: list[str], measures: list[str], value: str = "prob", descending: bool = True) -> DataFrame:

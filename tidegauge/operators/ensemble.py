@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import metrics as V
+from tidegauge.session import durable
 
 SWEEP = (10, 60)
 EPS_BRIER = 1e-6
@@ -180,19 +181,29 @@ def same_config(a: str, b: str) -> Column:
     return canon(a) == canon(b)
 
 
-def leave_one_out(scores: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
-    """Brier and AUC of the equal-weight mean without each member, against the mean of all."""
-    mean = scores.groupBy(*keys, "model").agg(F.avg("prob").alias("_mean"))
-    filled = scores.join(mean, [*keys, "model"]).withColumn("prob", F.coalesce("prob", "_mean"))
-    packed = filled.groupBy(*keys, *row, "y").agg(F.collect_list(F.struct("model", "prob")).alias("m"))
-    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["prob"])
-    k = F.size("m").cast("double")
-    without = F.transform("m", lambda x: F.struct(x["model"].alias("model"), F.try_divide(total - x["prob"], k - 1).alias("prob")))
-    everyone = F.array(F.struct(F.lit("all").alias("model"), (total / k).alias("prob")))
-    long = packed.select(*keys, *row, "y", F.inline(F.concat(everyone, without))).withColumn("prob", F.round("prob", 12))
-    table = V.metrics_table(long, [*keys, "model"])
-    all_in = table.where("model = 'all'").select(*keys, F.col("brier").alias("_b"), F.col("auc").alias("reference_auc"))
-    return table.where("model <> 'all'").join(all_in, keys).select(
+def leave_one_out(rows: DataFrame, keys: list[str], row: list[str], members: list[str]) -> DataFrame:
+    """Brier and AUC of the equal-weight mean without each member, against the mean of all.
+
+    ``rows`` has a column per member; a missing probability is the member's mean over the keys. Rows of equal keys, row and
+    label are one row with all their probabilities. Rows travel once, equal ones are counted before they are spread over the members.
+    """
+    means = durable(rows.groupBy(*keys).agg(*[F.avg(m).alias(f"_mean_{m}") for m in members]))
+    filled = rows.join(means, keys).select(*keys, *row, "y", *[F.coalesce(m, f"_mean_{m}").alias(m) for m in members])
+    own = sum((F.col(m) for m in members[1:]), F.col(members[0]))
+    at = Window.partitionBy(*keys, *row, "y").orderBy(*members)
+    same = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a missing sum stays missing for all rows that are one
+    total = F.when(F.count(own).over(same) == F.count(F.lit(1)).over(same), F.sum(own).over(same))
+    packed = filled.select(
+        *keys, "y", *members, total.alias("_total"), (F.count(F.lit(1)).over(same) * len(members)).cast("double").alias("_k"),
+        (F.row_number().over(at) == 1).alias("_first"))
+    counted = packed.groupBy(*keys, "y", *members, "_total", "_k", "_first").agg(F.count(F.lit(1)).alias("_n"))
+    without = [F.struct(F.lit(m).alias("model"), F.try_divide(F.col("_total") - F.col(m), F.col("_k") - 1).alias("prob")) for m in members]
+    everyone = F.struct(F.lit("all").alias("model"), F.when(F.col("_first"), F.col("_total") / F.col("_k")).alias("prob"))
+    long = counted.select(*keys, "y", "_n", F.inline(F.array(everyone, *without))).withColumn("prob", F.round("prob", 12))
+    table = V.metrics_table(long, [*keys, "model"], count="_n")
+    of_all = lambda m: F.max(F.when(F.col("model") == "all", F.col(m))).over(Window.partitionBy(*keys))
+    both = table.select(*keys, "model", "brier", "auc", of_all("brier").alias("_b"), of_all("auc").alias("reference_auc"))
+    return both.where("model <> 'all'").select(
         *keys, "model", F.col("brier").alias("brier_without"), (F.col("brier") - F.col("_b")).alias("brier_delta"),
         F.col("auc").alias("auc_without"), F.col("_b").alias("reference_brier"), "reference_auc")
-

@@ -53,11 +53,11 @@ def rates(tp="n_tp", fp="n_fp", fn="n_fn", tn="n_tn") -> dict[str, Column]:
     }
 
 
-def metrics_table(scores: DataFrame, keys: list[str], threshold: float | str = 0.5, eps: float = 1e-7) -> DataFrame:
-    """Every metric per key. ``threshold`` is a number or a column of ``scores`` that is constant per key."""
+def metrics_table(scores: DataFrame, keys: list[str], threshold: float | str = 0.5, eps: float = 1e-7, count: str | None = None) -> DataFrame:
+    """Every metric per key. ``threshold`` is a number or a column of ``scores`` that is constant per key; ``count`` says how many rows a row stands for."""
     group = [*keys, threshold] if isinstance(threshold, str) else keys
     cut = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
-    ranked = cumulate(score_cells(scores, group), group, COUNTS)
+    ranked = cumulate(score_cells(scores, group, count=count), group, COUNTS)
     named = {**rank_aggregates(), **loss_aggregates(eps), **confusion_aggregates(cut)}
     table = ranked.groupBy(*group).agg(*[c.alias(n) for n, c in named.items()])
     return table.withColumns(rates())

@@ -307,5 +307,5 @@ B.add("loo_metrics", metrics_sql("loo_rows", "run_id, model"))
 @query("e16_leave_one_out", sql="""SELECT l.run_id, l.model, ROUND(l.brier, 6) AS brier_without, ROUND(l.brier - a.brier, 6) AS brier_delta, ROUND(l.auc, 6) AS auc_without,
  ROUND(a.brier, 6) AS reference_brier, ROUND(a.auc, 6) AS reference_auc FROM loo_metrics l JOIN loo_metrics a ON l.run_id = a.run_id AND a.model = 'all' AND l.model <> 'all'""")
 def e16(t):
-    df = E.leave_one_out(t.scores, ["run_id"], ["row_id"])
+    df = E.leave_one_out(t.score_rows, ["run_id"], ["row_id"], ["m1", "m2", "m3", "m4"])
     return df.select(*RM, *r6(df, "brier_without", "brier_delta", "auc_without", "reference_brier", "reference_auc"))
