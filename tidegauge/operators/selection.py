@@ -162,8 +162,10 @@ def pool_correlation(features: DataFrame, pool: DataFrame) -> DataFrame:
     left = rows.select("entity_id", "period_end", "feature", F.col("value").alias("_a"))
     right = rows.select("entity_id", "period_end", F.col("feature").alias("other"), F.col("value").alias("_b"))
     spread = (F.stddev_pop("_a") > 1e-9) & (F.stddev_pop("_b") > 1e-9)
+    # F.corr divides by zero where a side is constant, whatever stands around it
+    corr = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
     pairs = left.join(right, ["entity_id", "period_end"]).where("feature < other")
-    return pairs.groupBy("entity_id", "feature", "other").agg(F.when(spread, F.abs(F.corr("_a", "_b"))).alias("abs_corr"), F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("entity_id", "feature", "other").agg(F.when(spread, F.abs(corr)).alias("abs_corr"), F.count(F.lit(1)).alias("n"))
 
 
 def pool_vectors(features: DataFrame, labels: DataFrame, pool: DataFrame, width: int) -> DataFrame:
